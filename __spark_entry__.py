@@ -23,8 +23,9 @@ from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
 from rankloom.plans import recommend as recommend_plan  # noqa: E402
 from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
+from rankloom.session import read_table  # noqa: E402
 from rankloom.sources import export  # noqa: E402
-from rankloom.sources.tables import items_from_lists, read_table  # noqa: E402
+from rankloom.sources.tables import items_from_lists  # noqa: E402
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -904,9 +905,10 @@ def stop_rule(spark, sf):
 
 
 def _decode_sql(x):
-    for name, char in (("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    for name, char in (("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·")):
         x = f"replace({x}, '{name}', '{char}')"
-    return x
+    # A heading cut inside the entity still decodes, as in any HTML parser.
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
 _STRIPPED = f"regexp_replace(s, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"

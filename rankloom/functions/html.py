@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,7 +37,7 @@ class _PageText(HTMLParser):
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.pieces: list[str] = []
         self.spans: dict[str, list[list[int]]] = {"h1": [], "title": [], "p": []}
         self._open: list[tuple[str, list[int] | None]] = []
@@ -79,6 +81,12 @@ class _PageText(HTMLParser):
     def handle_data(self, data):
         self._text.append(data)
 
+    def handle_entityref(self, name):
+        self._text.append(html5.get(name + ";") or html5.get(name) or "&" + name)
+
+    def handle_charref(self, name):
+        self._text.append(unescape(f"&#{name};"))
+
     def handle_comment(self, data):
         self._flush()
 

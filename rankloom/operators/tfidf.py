@@ -7,8 +7,11 @@ then built row by row in the JVM (no shuffle), as the vocabulary is bounded by
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +35,10 @@ def term_counts(corpus: DataFrame, text: str) -> DataFrame:
         F.array(F.lit(None).cast("string")),
         F.slice("term", F.lit(1), F.greatest(F.size("term") - 1, F.lit(0))),
     )
-    pairs = rows.select("term", before.alias("before")).where(F.size("term") > 0)
-    pairs = pairs.select(F.inline(F.arrays_zip("term", "before")))
+    pairs = rows.select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
+    # A text without words gives one row without a term. Dropped here and not
+    # by array size: that filter would be pushed down and tokenise twice.
+    pairs = pairs.where(F.col("term").isNotNull())
     new = (~F.col("term").eqNullSafe(F.col("before"))).cast("int")
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum(new).alias("df"))
 
@@ -61,12 +66,29 @@ class TfidfIndex:
         columns = [table.column(c).to_pylist() for c in ("term", "total", "df")]
         return cls(*columns, corpus.count())
 
+    @property
+    def idf(self) -> list[float]:
+        """ln((1 + n) / (1 + df)) + 1 of each term."""
+        return [math.log((1.0 + self.n_items) / (1.0 + df)) + 1.0 for df in self.dfs]
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(term_ix, term, total, df, idf); idf = ln((1 + n) / (1 + df)) + 1."""
-        rows = list(zip(range(len(self.terms)), self.terms, self.totals, self.dfs))
-        table = spark.createDataFrame(rows, "term_ix int, term string, total long, df long")
-        idf = F.log((1.0 + self.n_items) / (1.0 + F.col("df"))) + 1.0
-        return table.withColumn("idf", idf)
+        """(term_ix, term, total, df, idf)."""
+        table = pa.table(
+            {
+                "term_ix": pa.array(range(len(self.terms)), pa.int32()),
+                "term": self.terms,
+                "total": self.totals,
+                "df": self.dfs,
+                "idf": self.idf,
+            }
+        )
+        return spark.createDataFrame(table)
+
+    @cached_property
+    def _stages(self):
+        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_counts", outputCol="_scaled")
+        return [counts, scaled, Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")]
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).withColumn("n_items", F.lit(self.n_items)).coalesce(1).write.mode("overwrite").parquet(path)
@@ -84,11 +106,9 @@ class TfidfIndex:
         Terms outside the vocabulary are dropped; a text without any known
         term gets an empty vector.
         """
-        idf = [r.idf for r in self.frame(df.sparkSession).orderBy("term_ix").select("idf").collect()]
-        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_counts", outputCol="_scaled")
-        unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")
-        out = unit.transform(scaled.transform(counts.transform(with_terms(df, text, "_terms"))))
+        out = with_terms(df, text, "_terms")
+        for stage in self._stages:
+            out = stage.transform(out)
         vector = F.unwrap_udt("_unit")
         return out.select(
             *df.columns, vector["indices"].alias("indices"), vector["values"].alias("weights")

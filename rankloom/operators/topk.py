@@ -34,7 +34,8 @@ BROADCAST_BYTES = 64 << 20
 CELL_QUERIES = 1024
 CELL_ITEMS = 32768
 _BLOCK_QUERIES = 256
-_CHUNK_VALUES = 4 << 20
+_CHUNK_ROWS = 4096
+_CHUNK_PRODUCTS = 2 << 20
 _EMPTY = np.iinfo(np.int64).min
 _NO_ID = np.iinfo(np.int64).max
 
@@ -49,18 +50,22 @@ class _Dense:
             raise ValueError("vectors must have one common length")
         self.values = flat.reshape(self.rows, -1)
 
-    def axes(self, rows):
-        return None
+    def squares(self, rows):
+        values = self.values[rows]
+        return np.einsum("ij,ij->i", values, values)
 
-    def width(self, axes):
-        return self.values.shape[1]
+    def block(self, rows):
+        return {"matrix": self.values[rows]}
 
-    def matrix(self, rows, axes):
-        return self.values[rows]
+    def chunks(self, rows, block):
+        return [rows[at : at + _CHUNK_ROWS] for at in range(0, len(rows), _CHUNK_ROWS)]
+
+    def products(self, rows, block):
+        return block["matrix"] @ self.values[rows].T
 
 
 class _Sparse:
-    """Rows of a sparse vector, laid out on the axes a block of queries uses."""
+    """Rows of sparse vectors; a block of queries is kept as postings by axis."""
 
     def __init__(self, indices, weights):
         lengths = pc.list_value_length(indices).to_numpy(zero_copy_only=False)
@@ -70,27 +75,53 @@ class _Sparse:
         self.weights = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
 
     def _entries(self, rows):
-        counts = self.start[rows + 1] - self.start[rows]
-        row = np.repeat(np.arange(len(rows)), counts)
-        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return row, np.repeat(self.start[rows], counts) + offset
-
-    def axes(self, rows):
-        return np.unique(self.indices[self._entries(rows)[1]])
-
-    def width(self, axes):
-        return max(1, len(axes))
-
-    def matrix(self, rows, axes):
-        out = np.zeros((len(rows), len(axes)))
-        if len(axes):
-            row, entry = self._entries(rows)
-            place = np.searchsorted(axes, self.indices[entry])
-            place[place == len(axes)] = 0
-            known = axes[place] == self.indices[entry]
-            out[row[known], place[known]] = self.weights[entry[known]]
+        return _spans(self.start[rows], self.start[rows + 1] - self.start[rows])
+
+    def squares(self, rows):
+        row, entry = self._entries(rows)
+        return np.bincount(row, self.weights[entry] ** 2, len(rows))
+
+    def block(self, rows):
+        row, entry = self._entries(rows)
+        order = np.argsort(self.indices[entry], kind="stable")
+        axis = self.indices[entry][order]
+        # Where each axis starts among the postings, and one unused axis.
+        start = np.searchsorted(axis, np.arange((axis[-1] if len(axis) else -1) + 3))
+        return {"start": start, "query": row[order], "weight": self.weights[entry][order]}
+
+    def _postings(self, rows, block):
+        """For every entry of these rows: its row, weight and span of postings."""
+        row, entry = self._entries(rows)
+        start = block["start"]
+        axis = np.minimum(self.indices[entry], len(start) - 2)
+        return row, self.weights[entry], start[axis], start[axis + 1] - start[axis]
+
+    def chunks(self, rows, block):
+        """Runs of rows with a bounded number of products, one row at least."""
+        row, _, _, count = self._postings(rows, block)
+        work = np.cumsum(np.bincount(row, count, len(rows)))
+        out, at, done = [], 0, 0.0
+        while at < len(rows):
+            end = int(np.searchsorted(work, done + _CHUNK_PRODUCTS, side="right"))
+            end = max(at + 1, min(end, at + _CHUNK_ROWS))
+            out.append(rows[at:end])
+            at, done = end, work[end - 1]
         return out
 
+    def products(self, rows, block):
+        row, weight, first, count = self._postings(rows, block)
+        source, posting = _spans(first, count)
+        cell = block["query"][posting] * len(rows) + row[source]
+        size = len(block["square"]) * len(rows)
+        return np.bincount(cell, weight[source] * block["weight"][posting], size).reshape(-1, len(rows))
+
+
+def _spans(first, count):
+    """(which span, position) of every element of the spans first[i] .. first[i] + count[i]."""
+    which = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    return which, np.repeat(first, count) + offset
+
 
 def _plain(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -102,12 +133,7 @@ def _vectors(table):
     return _Sparse(_plain(table.column("indices")), _plain(table.column("weights")))
 
 
-def _unit(matrix):
-    norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    return matrix / np.where(norm == 0, 1.0, norm)[:, None]
-
-
-def query_blocks(table, metric: str) -> list[dict]:
+def query_blocks(table) -> list[dict]:
     """Cut a query table into blocks of one wanted type, as plain arrays."""
     vectors = _vectors(table)
     wanted = table.column("wanted").to_pylist()
@@ -116,11 +142,7 @@ def query_blocks(table, metric: str) -> list[dict]:
         members = np.flatnonzero([w == kind for w in wanted])
         for at in range(0, len(members), _BLOCK_QUERIES):
             rows = members[at : at + _BLOCK_QUERIES]
-            axes = vectors.axes(rows)
-            matrix = vectors.matrix(rows, axes)
-            if metric == "cosine":
-                matrix = _unit(matrix)
-            blocks.append({"kind": kind, "rows": rows, "axes": axes, "matrix": matrix})
+            blocks.append({"kind": kind, "rows": rows, "square": vectors.squares(rows), **vectors.block(rows)})
     return blocks
 
 
@@ -167,16 +189,15 @@ class Scorer:
         self.payload = list(payload)
         self.kept = None
 
-    def _score(self, items, block):
-        queries = block["matrix"]
-        if self.metric == "cosine":
-            return queries @ _unit(items).T
-        product = queries @ items.T
+    def _score(self, vectors, rows, block):
+        product = vectors.products(rows, block)
         if self.metric == "dot":
             return product
-        square = np.einsum("ij,ij->i", items, items) - 2.0 * product
-        square += np.einsum("ij,ij->i", queries, queries)[:, None]
-        return -np.maximum(square, 0.0)
+        square = vectors.squares(rows)
+        if self.metric == "cosine":
+            norm = np.sqrt(block["square"][:, None] * square)
+            return product / np.where(norm == 0, 1.0, norm)
+        return -np.maximum(block["square"][:, None] + square - 2.0 * product, 0.0)
 
     def add(self, batch):
         if not batch.num_rows:
@@ -191,11 +212,8 @@ class Scorer:
         base = 0 if self.kept is None else self.kept.num_rows
         for block, best in zip(self.blocks, self.best):
             rows = by_id if block["kind"] is None else by_id[kinds[by_id] == block["kind"]]
-            step = max(64, min(4096, _CHUNK_VALUES // vectors.width(block["axes"])))
-            for at in range(0, len(rows), step):
-                chunk = rows[at : at + step]
-                score = self._score(vectors.matrix(chunk, block["axes"]), block)
-                best.merge(score, ids[chunk], chunk + base)
+            for chunk in vectors.chunks(rows, block):
+                best.merge(self._score(vectors, chunk, block), ids[chunk], chunk + base)
         if own is not None:
             self._compact(own)
 
@@ -225,10 +243,6 @@ class Scorer:
             yield pa.table(columns)
 
 
-def _cast(table, arrow_schema):
-    return pa.table({f.name: table.column(f.name).cast(f.type) for f in arrow_schema})
-
-
 def _item_side(items: DataFrame, payload) -> DataFrame:
     names = items.columns
     vector = ["vector"] if "vector" in names else ["indices", "weights"]
@@ -297,12 +311,11 @@ def nearest(
 def _by_broadcast(items, head, k, metric, payload, schema):
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(
-        {"blocks": query_blocks(head, metric), "ids": _plain(head.column("query_id"))}
+        {"blocks": query_blocks(head), "ids": _plain(head.column("query_id"))}
     )
 
     def score(batches):
         scorer = Scorer(shared.value["blocks"], k, metric, payload)
-        out = None
         for batch in batches:
             scorer.add(batch)
         for table in scorer.result(shared.value["ids"]):
@@ -328,7 +341,7 @@ def _by_cells(items, queries, k, metric, payload, schema, cell_queries, cell_ite
     def score(item_table, query_table):
         parts = []
         if item_table.num_rows and query_table.num_rows:
-            scorer = Scorer(query_blocks(query_table, metric), k, metric, payload)
+            scorer = Scorer(query_blocks(query_table), k, metric, payload)
             scorer.add(item_table)
             parts = list(scorer.result(_plain(query_table.column("query_id"))))
         if parts:

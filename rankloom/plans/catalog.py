@@ -10,6 +10,7 @@ from rankloom.operators.pages import catalog_rows
 from rankloom.operators.tfidf import MAX_FEATURES, TfidfIndex
 from rankloom.operators.vectors import encode
 from rankloom.schemas import DESCRIPTION, NAME, URL
+from rankloom.session import materialise
 
 
 def catalog_from_pages(pages: DataFrame, site_suffix: str = "") -> DataFrame:
@@ -25,7 +26,11 @@ def catalog_from_pages(pages: DataFrame, site_suffix: str = "") -> DataFrame:
 
 
 def fit_catalog(catalog: DataFrame, max_features: int = MAX_FEATURES) -> tuple[TfidfIndex, DataFrame]:
-    """The vocabulary over the whole catalog and each item with its sparse vector."""
+    """The vocabulary over the whole catalog and each item with its sparse vector.
+
+    The cleaned texts are written once, as fitting and vectors both read them.
+    """
+    catalog = materialise(catalog.select("item_id", "name", "url", "item_type", "embedding_text"))
     index = TfidfIndex.fit(catalog, "embedding_text", max_features)
     items = index.transform(catalog, "embedding_text")
     return index, items.select("item_id", "name", "url", "item_type", "indices", "weights")

@@ -12,6 +12,7 @@ from rankloom.operators import rank as rk
 from rankloom.operators import rerank as rr
 from rankloom.operators.tfidf import POOL, TfidfIndex, retrieve
 from rankloom.operators.vectors import recommend_dense
+from rankloom.session import materialise
 
 DEFAULT_K = 10
 
@@ -57,7 +58,7 @@ def answer(
     is the first request_id equal to it. ``dense`` = (items with vectors,
     queries with query_id and vector) serves the failed ones.
     """
-    distinct = rk.distinct_requests(requests)
+    distinct = materialise(rk.distinct_requests(requests))
     queries = distinct.select("query_id", "query", "k", F.col("item_type").alias("query_type"))
     pools = pools_for(index, items, queries)
     if responses is None and load_answerer is not None:

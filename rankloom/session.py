@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set only where the launcher has not: a cluster's own values win.
 DEFAULTS = {
@@ -32,13 +33,32 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a private one only where unset."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that several jobs read into the shared folder and read it back.
+
+    The rows survive lost executors, and later jobs read only their columns.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return read_table(df.sparkSession, path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; one of fewer files than cores is spread over the cores.
+
+    A large table has files enough and is scanned where it lies.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table

@@ -22,16 +22,6 @@ _COLUMNS = {
 }
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; one of fewer files than cores is spread over the cores.
-
-    A large table has files enough and is scanned where it lies.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
-
-
 def nulls_from_tokens(df: DataFrame) -> DataFrame:
     return df.select(
         *[
