@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import cloudpickle  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -27,6 +28,10 @@ from rankloom.session import read_table  # noqa: E402
 from rankloom.sources import export  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
 
+# The stand-in encoder below travels to the tasks by value.
+if __name__ in sys.modules:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -617,7 +622,7 @@ def _pools(spark, sf):
 
 def _answers(pools):
     """A made-up answer per pool; every fifth brand gets none."""
-    name = lambda i: F.get("pool", F.lit(i))["name"]
+    name = lambda i: F.coalesce(F.get("pool", F.lit(i))["name"], F.lit(""))
     content = F.concat(
         F.lit("Here are my picks\n1. "), F.upper(name(6)), F.lit("\n2. the "), name(2), F.lit(" kit\n - 9. skipped\n3. "),
         name(6), F.lit("\n4. no such thing\n5. "), F.substring(name(10), 1, 5), F.lit("\n"),
@@ -631,7 +636,8 @@ _POOLS_SQL = r"""pool AS (
          row_number() OVER (PARTITION BY p_brand ORDER BY round(p_retailprice / 5000, 4) DESC, p_partkey) AS rank
   FROM part QUALIFY rank <= 20),
 ks AS (SELECT DISTINCT query_id, CAST(query_id % 3 + 5 AS INTEGER) AS k FROM pool),
-named AS (SELECT query_id, max(name) FILTER (rank = 7) AS n6, max(name) FILTER (rank = 3) AS n2, max(name) FILTER (rank = 11) AS n10
+named AS (SELECT query_id, coalesce(max(name) FILTER (rank = 7), '') AS n6, coalesce(max(name) FILTER (rank = 3), '') AS n2,
+    coalesce(max(name) FILTER (rank = 11), '') AS n10
   FROM pool GROUP BY query_id),
 answers AS (SELECT query_id, 'Here are my picks' || chr(10) || '1. ' || upper(n6) || chr(10) || '2. the ' || n2 || ' kit' || chr(10)
     || ' - 9. skipped' || chr(10) || '3. ' || n6 || chr(10) || '4. no such thing' || chr(10) || '5. ' || substr(n10, 1, 5) || chr(10) AS content

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,14 +83,12 @@ def neighbours(items: DataFrame, sampled: DataFrame, k: int = 5, payload=()) ->
     """
     queries = sampled.select(F.col("item_id").alias("query_id"), "vector")
     ranked = nearest(items, queries, k + 1, payload=payload)
-    own = ranked.where(F.col("item_id") == F.col("query_id")).select("query_id", F.col("rank").alias("own_rank"))
-    after = ranked.join(own, "query_id", "left").where(F.col("item_id") != F.col("query_id"))
-    return (
-        after.withColumn("rank", F.col("rank") - (F.col("rank") > F.col("own_rank")).cast("int"))
-        .drop("own_rank")
-        .withColumn("rank", F.coalesce("rank", F.lit(k)))
-        .where(F.col("rank") <= k)
-    )
+    # Rows of a query are together already, so this window moves no data. The
+    # item itself may be missing, if more than k copies of it come first.
+    own = F.max(F.when(F.col("item_id") == F.col("query_id"), F.col("rank"))).over(Window.partitionBy("query_id"))
+    after = ranked.withColumn("_own", own).where(F.col("item_id") != F.col("query_id"))
+    passed = F.coalesce((F.col("rank") > F.col("_own")).cast("int"), F.lit(0))
+    return after.withColumn("rank", F.col("rank") - passed).where(F.col("rank") <= k).drop("_own")
 
 
 def recommend_dense(items: DataFrame, queries: DataFrame, k: int = 10, payload=("name", "url", "item_type")) -> DataFrame:

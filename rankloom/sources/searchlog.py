@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom import schemas
 from rankloom.operators.searchlog import analytics_rows, history_rows, logged, without_sessions
@@ -29,15 +30,20 @@ def append_searches(searches: DataFrame, history_path: str, analytics_path: str,
     analytics_rows(computed).write.mode("overwrite").parquet(f"{analytics_path}/batch={batch}")
 
 
+def _stored(schema: T.StructType, *folders: T.StructField) -> T.StructType:
+    return T.StructType([*schema.fields, *folders])
+
+
+_BATCH = T.StructField("batch", T.StringType())
+_BUCKET = T.StructField("bucket", T.IntegerType())
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    schema = schemas.T.StructType(
-        [*schemas.SEARCH_HISTORY.fields]
-    ).add("batch", "string").add("bucket", "int")
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(_stored(schemas.SEARCH_HISTORY, _BATCH, _BUCKET)).parquet(path)
 
 
 def read_analytics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.T.StructType([*schemas.QUERY_ANALYTICS.fields]).add("batch", "string")).parquet(path)
+    return spark.read.schema(_stored(schemas.QUERY_ANALYTICS, _BATCH)).parquet(path)
 
 
 def clear_sessions(history: DataFrame, sessions: DataFrame, new_path: str) -> None:
