@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode whitespace as a character class; Java's and RE2's \s are ASCII only.
@@ -29,6 +29,12 @@ TYPE_RULES = [
 DEFAULT_TYPE = "General"
 
 _NOISE = "(?iud)(?:" + "|".join(NOISE_PHRASES) + ").*"
+# Words at least one of which every noise phrase holds, and the letters that
+# match s or i when case is ignored though lower() keeps them apart.
+_NOISE_HINTS = ["browser", "understand"]
+_NOISE_LETTERS = "[ſıİ]"
+# Whitespace that is not already one blank.
+_LOOSE = rf" [{SPACE}]+|(?! )[{SPACE}]+"
 _LINK = rf"http[^{SPACE}]+|www\.[^{SPACE}]+"
 
 
@@ -39,17 +45,42 @@ def trim_space(text: Column) -> Column:
 
 def collapse_space(text: Column) -> Column:
     """Every run of whitespace becomes one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.btrim(F.regexp_replace(text, _LOOSE, " "))
 
 
-def clean_description(text: Column) -> Column:
-    """Drop browser warnings to the end of their line, tidy blanks, drop links.
+def remove_noise(text: Column) -> Column:
+    """Drop browser warnings to the end of their line and tidy blanks."""
+    lowered = F.lower(text)
+    # Few texts hold noise; a plain search spares the others the pattern.
+    noisy = lowered.contains(_NOISE_HINTS[0]) | lowered.contains(_NOISE_HINTS[1]) | text.rlike(_NOISE_LETTERS)
+    return collapse_space(F.when(noisy, F.regexp_replace(text, _NOISE, "")).otherwise(text))
+
+
+def remove_links(text: Column) -> Column:
+    linked = text.contains("http") | text.contains("www.")
+    return F.when(linked, F.regexp_replace(text, _LINK, "")).otherwise(text)
+
+
+def default_short(text: Column) -> Column:
+    """Texts under 20 characters say too little and get a fixed sentence."""
+    return F.when(F.length(text) < SHORT_LIMIT, F.lit(SHORT_DESCRIPTION)).otherwise(text)
+
+
+def with_clean_description(df: DataFrame, column: str = "description") -> DataFrame:
+    """Clean a description: noise, then blanks, then links, then the short default.
 
     Links go last and leave their blanks behind, which count for the length.
+    One column per step, as each step looks at the one before more than once.
     """
-    kept = F.regexp_replace(F.coalesce(text, F.lit(NO_DESCRIPTION)), _NOISE, "")
-    kept = F.regexp_replace(collapse_space(kept), _LINK, "")
-    return F.when(F.length(kept) < SHORT_LIMIT, F.lit(SHORT_DESCRIPTION)).otherwise(kept)
+    steps = [
+        F.coalesce(F.col(column), F.lit(NO_DESCRIPTION)),
+        remove_noise(F.col(column)),
+        remove_links(F.col(column)),
+        default_short(F.col(column)),
+    ]
+    for step in steps:
+        df = df.withColumn(column, step)
+    return df
 
 
 def embedding_text(name: Column, description: Column) -> Column:

@@ -30,12 +30,7 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 def clean_texts(df: DataFrame) -> DataFrame:
     """Clean name and description and derive the embedding text."""
-    cleaned = df.withColumns(
-        {
-            "name": tx.collapse_space(F.col("name")),
-            "description": tx.clean_description(F.col("description")),
-        }
-    )
+    cleaned = tx.with_clean_description(df.withColumn("name", tx.collapse_space(F.col("name"))))
     return cleaned.withColumn("embedding_text", tx.embedding_text(F.col("name"), F.col("description")))
 
 

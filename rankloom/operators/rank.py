@@ -12,8 +12,8 @@ from rankloom.functions.text import DEFAULT_TYPE, no_type_filter
 _SALT = "_salt"
 
 
-def _salts(df: DataFrame) -> int:
-    """More sub-groups the wider the session shuffles; none on a small one."""
+def wide_salts(df: DataFrame) -> int:
+    """Sub-groups for :func:`top_rows`: more the wider the session shuffles, one on a small one."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(64, width // 8))
 
@@ -24,18 +24,18 @@ def top_rows(
     order: Sequence[Column],
     k: int,
     rank: str = "rank",
-    salts: int | None = None,
+    salts: int = 1,
 ) -> DataFrame:
     """First ``k`` rows of every group under a total order, with their rank.
 
     Each map task keeps at most ``k`` rows of a group before the shuffle
-    (WindowGroupLimit). A group met by very many tasks is narrowed once more
-    in salted sub-groups, so no task sees more than (tasks / salts) * k rows
-    of it, and the last one salts * k rows.
+    (WindowGroupLimit), so a hot group arrives as k rows per map task and not
+    whole. Where *every* group is met by every task, ``salts`` > 1 first
+    narrows salted sub-groups, so the last task of a group sees salts * k rows;
+    for mostly small groups that second shuffle would cost more than it saves.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    salts = _salts(df) if salts is None else salts
     if salts > 1:
         salted = df.withColumn(_SALT, F.spark_partition_id() % salts)
         narrow = Window.partitionBy(*by, _SALT).orderBy(*order)

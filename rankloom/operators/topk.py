@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.functions.text import no_type_filter
-from rankloom.operators.rank import top_rows
+from rankloom.operators.rank import top_rows, wide_salts
 
 MICRO = 1_000_000
 BROADCAST_ROWS = 4096
@@ -304,7 +304,9 @@ def nearest(
         found = _by_broadcast(left, head, k, metric, payload, schema)
     else:
         found = _by_cells(left, right, k, metric, payload, schema, cell_queries, cell_items)
-    ranked = top_rows(found, ["query_id"], [F.col("score_key").desc(), F.col("item_id").asc()], k)
+    best = [F.col("score_key").desc(), F.col("item_id").asc()]
+    # Every task holds rows of every query, so the last step is narrowed twice.
+    ranked = top_rows(found, ["query_id"], best, k, salts=wide_salts(found))
     return ranked.drop("score_key")
 
 

@@ -19,6 +19,9 @@ def one(spark, value, function):
         ("  a  b\tc\nd  ", "a b c d"),
         ("\x1ca\x85b　", "a b"),
         ("plain", "plain"),
+        ("a  b \t c\td", "a b c d"),
+        ("\t", ""),
+        (" ", ""),
     ],
 )
 def test_collapse_space(spark, text, want):
@@ -34,6 +37,8 @@ def test_trim_space_keeps_inner(spark):
     [
         ("Useful words first. OUTDATED browser detected here\nand the next line stays", "Useful words first. and the next line stays"),
         ("Latest browser options  still the same line\nkept because it is the next line", "kept because it is the next line"),
+        ("Enough words to be kept. OUTDATED BROWſER DETECTED and more", "Enough words to be kept."),
+        ("Enough words to be kept. ı understand and wİsh to contInue", "Enough words to be kept."),
         ("see the page http://a.b/c right now", "see the page  right now"),
         ("www.example.com and enough other words here", " and enough other words here"),
         ("1234567890123456789", tx.SHORT_DESCRIPTION),
@@ -43,7 +48,8 @@ def test_trim_space_keeps_inner(spark):
     ],
 )
 def test_clean_description(spark, text, want):
-    assert one(spark, text, tx.clean_description) == want
+    frame = spark.createDataFrame([(text,)], "description string")
+    assert tx.with_clean_description(frame).first().description == want
 
 
 def test_link_blank_counts_and_collapses_only_in_embedding_text(spark):
