@@ -338,11 +338,15 @@ def _by_cells(items, queries, k, metric, payload, schema, cell_queries, cell_ite
 
     left = items.withColumn("_i", cell("item_id", item_cells)).withColumn("_q", all_cells(query_cells))
     right = queries.withColumn("_q", cell("query_id", query_cells)).withColumn("_i", all_cells(item_cells))
+    # Items may ask about themselves: own names keep the two sides' columns apart.
+    names = queries.columns
+    right = right.select("_i", "_q", *[F.col(c).alias(f"_asked_{c}") for c in names])
     empty = {f.name: [] for f in schema.fields}
 
     def score(item_table, query_table):
         parts = []
         if item_table.num_rows and query_table.num_rows:
+            query_table = pa.table({c: query_table.column(f"_asked_{c}") for c in names})
             scorer = Scorer(query_blocks(query_table), k, metric, payload)
             scorer.add(item_table)
             parts = list(scorer.result(_plain(query_table.column("query_id"))))

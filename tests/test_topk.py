@@ -62,6 +62,14 @@ def test_nearest_matches_brute_force(spark, metric, sizes):
     assert got == want
 
 
+def test_items_ask_about_themselves_in_cells(spark):
+    items = spark.createDataFrame(make(120, 4, 8), ITEMS)
+    asked = items.select(F.col("item_id").alias("query_id"), "vector", F.col("item_type").alias("query_type"))
+    plain = nearest(items, asked, 5, payload=["name"])
+    cells = nearest(items, asked, 5, payload=["name"], broadcast_rows=10, cell_queries=50, cell_items=40)
+    assert sorted(plain.collect()) == sorted(cells.collect())
+
+
 def test_nearest_with_fewer_items_than_k_and_no_items(spark):
     items = spark.createDataFrame(make(3, 4, 1), ITEMS)
     asked = items.select(F.col("item_id").alias("query_id"), "vector")
