@@ -36,12 +36,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function name, with its SQL if there is one."""
+def query(sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a query under its function name, with its SQL if there is one.
+
+    ``ints`` are columns that are 32 bits wide here and 64 in plain SQL.
+    """
 
     def register(function):
         _QUERIES[function.__name__] = function
-        if sql is not None:
+        if sql is not None and ints:
+            casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+            _ORACLES[function.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+        elif sql is not None:
             _ORACLES[function.__name__] = sql
         return function
 
@@ -274,7 +280,7 @@ def type_counts(spark, sf):
 
 
 @query("""SELECT count(*) AS n_items, avg(length(text)) AS avg_length, min(length(text)) AS min_length,
-max(length(text)) AS max_length FROM documents""")
+max(length(text)) AS max_length FROM documents""", ints=("min_length", "max_length"))
 def text_lengths(spark, sf):
     return clean.text_lengths(_load(spark, sf, "documents"), "text")
 
@@ -323,7 +329,7 @@ def preview(spark, sf):
 
 @query("""SELECT doc_id, item_id, line, n FROM (
   SELECT doc_id, generate_subscripts(l, 1) - 1 AS item_id, unnest(l) AS line, length(unnest(l)) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""", ints=("n",))
 def lists_to_rows(spark, sf):
     lists = _load(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("line"))
     lists = lists.withColumn("n", F.transform("line", lambda s: F.length(s)))
@@ -362,7 +368,7 @@ qw AS (SELECT key, term, x / sqrt(sum(x * x) OVER (PARTITION BY key)) AS w
 
 
 @query(r"SELECT doc_id, len(l) AS n_words, coalesce(l[1], '') AS first_word, coalesce(l[-1], '') AS last_word FROM (SELECT doc_id, "
-       + _WORDS.format(text="text") + " AS l FROM documents)")
+       + _WORDS.format(text="text") + " AS l FROM documents)", ints=("n_words",))
 def tokenise(spark, sf):
     terms = with_terms(_load(spark, sf, "documents").select("doc_id", "text"), "text")
     words = ((F.size("terms") + 1) / 2).cast("int")
@@ -390,7 +396,7 @@ dots AS (SELECT q.key AS query_id, d.key AS item_id, sum(q.w * d.w) AS s FROM qw
 SELECT b.item_id AS query_id, d.doc_id AS item_id, d.source AS item_type, round(coalesce(s, 0), 6) AS score,
        row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s, 0), 6) DESC, d.doc_id) AS rank
 FROM benchmark b CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = b.item_id AND dots.item_id = d.doc_id
-QUALIFY rank <= 20""")
+QUALIFY rank <= 20""", ints=("rank",))
 def tfidf_topk(spark, sf):
     docs = _load(spark, sf, "documents").select(
         F.col("doc_id").alias("item_id"), "text", F.col("source").alias("item_type")
@@ -404,7 +410,7 @@ def tfidf_topk(spark, sf):
 # --- dense vectors and ranking ----------------------------------------------
 
 
-@query(f"WITH {_ITEMS_SQL} SELECT query_id, item_id, name, score, rank FROM ranked WHERE rank <= 10")
+@query(f"WITH {_ITEMS_SQL} SELECT query_id, item_id, name, score, rank FROM ranked WHERE rank <= 10", ints=("rank",))
 def dense_topk(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items).select("query_id", "vector")
@@ -415,7 +421,7 @@ def dense_topk(spark, sf):
 @query(f"""WITH {_ITEMS_SQL}
 SELECT query_id, item_id, item_type, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
 FROM pairs WHERE coalesce(query_type, '') IN ('', 'ALL') OR lower(query_type) = lower(item_type)
-QUALIFY rank <= k""")
+QUALIFY rank <= k""", ints=("rank",))
 def type_filter_topk(spark, sf):
     items = _vector_items(spark, sf)
     found = vectors.recommend_dense(items, _vector_queries(items), 10)
@@ -425,7 +431,7 @@ def type_filter_topk(spark, sf):
 @query(f"""WITH {_ITEMS_SQL}, cut AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM ranked
   WHERE rank <= 20 AND rank <= 2 * k AND (coalesce(query_type, '') IN ('', 'ALL') OR lower(query_type) = lower(item_type)))
-SELECT query_id, item_id, item_type, score, new_rank AS rank FROM cut WHERE new_rank <= k""")
+SELECT query_id, item_id, item_type, score, new_rank AS rank FROM cut WHERE new_rank <= k""", ints=("rank",))
 def overfetch_filter(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items)
@@ -442,7 +448,7 @@ def sample_items(spark, sf):
 
 @query(f"""WITH {_ITEMS_SQL}
 SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
-FROM pairs WHERE item_id <> query_id QUALIFY rank <= 5""")
+FROM pairs WHERE item_id <> query_id QUALIFY rank <= 5""", ints=("rank",))
 def neighbours(spark, sf):
     items = _vector_items(spark, sf)
     found = vectors.neighbours(items, items, 5)
@@ -451,7 +457,7 @@ def neighbours(spark, sf):
 
 @query(f"""WITH {_ITEMS_SQL}, chosen AS (SELECT item_id FROM items ORDER BY md5(CAST(item_id AS VARCHAR) || ':42'), item_id LIMIT 3)
 SELECT query_id, item_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
-FROM pairs WHERE item_id <> query_id AND query_id IN (SELECT item_id FROM chosen) QUALIFY rank <= 5""")
+FROM pairs WHERE item_id <> query_id AND query_id IN (SELECT item_id FROM chosen) QUALIFY rank <= 5""", ints=("rank",))
 def sampled_neighbours(spark, sf):
     items = _vector_items(spark, sf)
     found = vectors.neighbours(items, vectors.sample_items(items, 3), 5, payload=["name"])
@@ -461,7 +467,7 @@ def sampled_neighbours(spark, sf):
 @query(f"""WITH {_ITEMS_SQL}, d AS (SELECT a.query_id, i.item_id,
     round(list_sum(list_transform(list_zip(a.v, i.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM asks a, items i)
 SELECT query_id, item_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank
-FROM d QUALIFY rank <= 5""")
+FROM d QUALIFY rank <= 5""", ints=("rank",))
 def l2_knn(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items).select("query_id", "vector")
@@ -469,13 +475,13 @@ def l2_knn(spark, sf):
     return found.select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("SELECT count(*) AS n_rows, max(len(embedding)) AS dimension, sum(len(embedding)) * 4 / 1048576.0 AS size_mb FROM embeddings")
+@query("SELECT count(*) AS n_rows, max(len(embedding)) AS dimension, sum(len(embedding)) * 4 / 1048576.0 AS size_mb FROM embeddings", ints=("dimension",))
 def vector_stats(spark, sf):
     return vectors.vector_stats(_vector_items(spark, sf))
 
 
 @query("""SELECT 'hash-64' AS model_name, max(len(embedding)) AS embedding_dimension, count(*) AS num_assessments,
-'catalog' AS input_file, 'vectors' AS embeddings_file, 'vectors' AS metadata_file FROM embeddings""")
+'catalog' AS input_file, 'vectors' AS embeddings_file, 'vectors' AS metadata_file FROM embeddings""", ints=("embedding_dimension",))
 def run_config(spark, sf):
     return vectors.run_config(_vector_items(spark, sf), "hash-64", "catalog", "vectors", "vectors")
 
@@ -510,7 +516,7 @@ SELECT b.item_id AS query_id, doc_id AS item_id, 'Document ' || doc_id AS name,
   round(coalesce(nullif(list_cosine_similarity(b.v, d.v), 'nan'::DOUBLE), 0), 6) AS score,
   row_number() OVER (PARTITION BY b.item_id ORDER BY
     round(coalesce(nullif(list_cosine_similarity(b.v, d.v), 'nan'::DOUBLE), 0), 6) DESC, doc_id) AS rank
-FROM b, d QUALIFY rank <= 5""")
+FROM b, d QUALIFY rank <= 5""", ints=("rank",))
 def text_search(spark, sf):
     docs = _load(spark, sf, "documents").select(
         F.col("doc_id").alias("item_id"), "text", F.concat(F.lit("Document "), "doc_id").alias("name"),
@@ -544,7 +550,7 @@ both_ways AS (
   SELECT query_id, item_id, r AS rank, score, 'rag' AS method FROM typed WHERE r <= 3 AND query_id NOT IN (SELECT query_id FROM failed)
   UNION ALL
   SELECT query_id, item_id, rank, score, 'semantic' FROM ranked WHERE rank <= 3 AND query_id IN (SELECT query_id FROM failed))
-SELECT query_id, item_id, rank, score, CASE WHEN rank = 1 THEN method END AS method FROM both_ways""")
+SELECT query_id, item_id, rank, score, CASE WHEN rank = 1 THEN method END AS method FROM both_ways""", ints=("rank",))
 def fallback_union(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items)
@@ -594,7 +600,7 @@ def match_label(spark, sf):
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, text, length(regexp_replace(text, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) AS n FROM conversations)
 SELECT conv_id, turn, CASE WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'too_short' ELSE 'ok' END AS status,
-  length(text) > 0 AND length(text) < 50 AS warning, length(text) AS n_chars FROM t""")
+  length(text) > 0 AND length(text) < 50 AS warning, length(text) AS n_chars FROM t""", ints=("n_chars",))
 def validate_query(spark, sf):
     text = F.col("text")
     return _load(spark, sf, "conversations").select(
@@ -676,7 +682,7 @@ def build_prompt(spark, sf):
     return rerank.build_prompts(_pools(spark, sf)).select("query_id", "prompt")
 
 
-@query(f"WITH {_POOLS_SQL} SELECT query_id, titles.at AS pos, title FROM titles")
+@query(f"WITH {_POOLS_SQL} SELECT query_id, titles.at AS pos, title FROM titles", ints=("pos",))
 def rerank_parse(spark, sf):
     titles = _answers(_pools(spark, sf)).select("query_id", rerank.parse_titles(F.col("content")).alias("t"))
     return titles.select("query_id", F.posexplode("t").alias("at", "title")).select(

@@ -243,9 +243,14 @@ class Scorer:
             yield pa.table(columns)
 
 
+def _vector_columns(df: DataFrame) -> list[str]:
+    return ["vector"] if "vector" in df.columns else ["indices", "weights"]
+
+
 def _item_side(items: DataFrame, payload) -> DataFrame:
     names = items.columns
-    vector = ["vector"] if "vector" in names else ["indices", "weights"]
+    vector = _vector_columns(items)
+    items = items.dropna(subset=vector)
     columns = ["item_id", *vector, *payload]
     if "item_type" in names:
         return items.select(*columns, F.lower("item_type").alias("kind"))
@@ -254,7 +259,8 @@ def _item_side(items: DataFrame, payload) -> DataFrame:
 
 def _query_side(queries: DataFrame) -> DataFrame:
     names = queries.columns
-    vector = ["vector"] if "vector" in names else ["indices", "weights"]
+    vector = _vector_columns(queries)
+    queries = queries.dropna(subset=vector)
     wanted = F.lit(None).cast("string")
     if "query_type" in names:
         wanted = F.when(~no_type_filter(F.col("query_type")), F.lower("query_type"))

@@ -70,6 +70,12 @@ def test_items_ask_about_themselves_in_cells(spark):
     assert sorted(plain.collect()) == sorted(cells.collect())
 
 
+def test_items_and_queries_without_vector_are_left_out(spark):
+    items = spark.createDataFrame([(1, [1.0], "A", "n1"), (2, None, "A", "n2"), (3, [0.5], "A", "n3")], ITEMS)
+    asked = items.select(F.col("item_id").alias("query_id"), "vector")
+    assert ranked(nearest(items, asked, 5, payload=["name"])) == {1: [1, 3], 3: [1, 3]}
+
+
 def test_nearest_with_fewer_items_than_k_and_no_items(spark):
     items = spark.createDataFrame(make(3, 4, 1), ITEMS)
     asked = items.select(F.col("item_id").alias("query_id"), "vector")
