@@ -247,10 +247,16 @@ def _vector_columns(df: DataFrame) -> list[str]:
     return ["vector"] if "vector" in df.columns else ["indices", "weights"]
 
 
+def _with_vector(df: DataFrame) -> DataFrame:
+    # Sparse vectors are computed and never null; a filter on them would be
+    # pushed below and compute them a second time.
+    return df.where(F.col("vector").isNotNull()) if "vector" in df.columns else df
+
+
 def _item_side(items: DataFrame, payload) -> DataFrame:
     names = items.columns
     vector = _vector_columns(items)
-    items = items.dropna(subset=vector)
+    items = _with_vector(items)
     columns = ["item_id", *vector, *payload]
     if "item_type" in names:
         return items.select(*columns, F.lower("item_type").alias("kind"))
@@ -260,7 +266,7 @@ def _item_side(items: DataFrame, payload) -> DataFrame:
 def _query_side(queries: DataFrame) -> DataFrame:
     names = queries.columns
     vector = _vector_columns(queries)
-    queries = queries.dropna(subset=vector)
+    queries = _with_vector(queries)
     wanted = F.lit(None).cast("string")
     if "query_type" in names:
         wanted = F.when(~no_type_filter(F.col("query_type")), F.lower("query_type"))

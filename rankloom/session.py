@@ -34,12 +34,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a private one only where unset."""
+    """The shared folder named by the cluster; a private one only on a single machine."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
     return context.getCheckpointDir()
 

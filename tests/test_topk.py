@@ -141,7 +141,7 @@ TEXTS = [
 ]
 
 
-def reference_tfidf(texts, limit):
+def plain_tfidf(texts, limit):
     import math
     import re
     from collections import Counter
@@ -167,7 +167,7 @@ def reference_tfidf(texts, limit):
 @pytest.mark.parametrize("limit", [6, 8000])
 def test_tfidf_matches_plain_python(spark, limit):
     corpus = spark.createDataFrame(TEXTS, "item_id long, text string, item_type string")
-    total, df, vector = reference_tfidf(TEXTS, limit)
+    total, df, vector = plain_tfidf(TEXTS, limit)
     counts = {r.term: (r.total, r.df) for r in term_counts(corpus, "text").collect()}
     assert {t: c[0] for t, c in counts.items()} == dict(total)
     index = TfidfIndex.fit(corpus, "text", limit)
