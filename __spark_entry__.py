@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -59,12 +60,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return tfidf_topk(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The queries of the optional subpackage and pipeline, where they are there."""
+    if find_spec("rankloom.llm") is None or find_spec("corpus_pipeline") is None:
+        return {}, {}
+    import corpus_pipeline
+    from rankloom.llm.queries import ORACLES, QUERIES
+
+    sql = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": corpus_pipeline.run}, ORACLES | sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | _training_data()[1]
 
 
 # --- inputs -----------------------------------------------------------------

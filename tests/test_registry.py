@@ -21,10 +21,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry._ORACLES) == set(entry._QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry._QUERIES))
 def test_query_equals_sql(spark, connection, name):
     ok, rows, _, _, detail = compare(spark, connection, FOLDER, name)
     assert ok, detail
