@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import host_rules, url_rules
+from rankloom.llm import bpe, chat, host_rules, token_counts, url_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +21,41 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+ADDED_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@query
+def op1_chat_round_trip(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(ADDED_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+
+
+@query
+def op3_token_counts(spark, sf):
+    """Tokens of source, lang and text, and of the text's lines, from one encoding of the three."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    ranks = token_counts.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = token_counts.attribute(docs, ranks, public_tokenizers.PATTERN, ["source", "lang", "text"])
+    at = F.col("field_tokens")
+    return counted.select(
+        "doc_id", "n_tokens", "n_crossing", at[0].alias("source_tokens"), at[1].alias("lang_tokens"), at[2].alias("text_tokens"), "section_tokens"
+    )
+
+
+@query
+def op6_bpe_round_trip(spark, sf):
+    vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    both = bpe.decode(encoded, vocabulary)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op8_host_rules(spark, sf):
     judged = host_rules.judge(table(spark, sf, "documents"))
