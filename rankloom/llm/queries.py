@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, host_rules, token_counts, url_rules
+from rankloom.llm import bpe, chat, host_rules, quality_trees, simhash, tiling, token_counts, url_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op1_chat_round_trip(spark, sf):
     return chat.digests(chat.format_conversations(rows.unionByName(added)))
 
 
+@query
+def op2_benchmark_tiles(spark, sf):
+    found = tiling.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "covered_words", F.size("tiles").alias("n_tiles"))
+
+
 @query
 def op3_token_counts(spark, sf):
     """Tokens of source, lang and text, and of the text's lines, from one encoding of the three."""
@@ -43,6 +49,21 @@ def op3_token_counts(spark, sf):
     )
 
 
+def quality_forest(spark, sf):
+    """Trees fitted to the documents table and those of its labels that are not held out."""
+    labels = table(spark, sf, "labels").where(~quality_trees.held_out(F.col("doc_id")))
+    return quality_trees.train(table(spark, sf, "documents"), labels.select("doc_id", F.col("quality").alias("label")))
+
+
+@query
+def op5_quality_trees(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality_trees.score(docs, quality_forest(spark, sf))
+    return scored.select(
+        "doc_id", quality_trees.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @query
 def op6_bpe_round_trip(spark, sf):
     vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
@@ -92,6 +113,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+@query
+def op9_simhash_classes(spark, sf):
+    found = simhash.classes(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
