@@ -36,11 +36,13 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
 
-class Codec:
-    """Encodes and decodes with one vocabulary file (its JSON text)."""
+class Decoder:
+    """Decodes with one vocabulary file (its JSON text)."""
 
-    def __init__(self, definition: str, remembered: int = 300_000):
-        spec = json.loads(definition)
+    def __init__(self, definition: str):
+        self._read(json.loads(definition))
+
+    def _read(self, spec: dict) -> dict[str, int]:
         itself = {b for low, high in PRINTABLE for b in range(low, high + 1)}
         others = [b for b in range(256) if b not in itself]
         byte_of = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -51,6 +53,18 @@ class Codec:
             self.bytes_of[i] = bytes(byte_of[c] for c in name)
         for name, i in self.special.items():
             self.bytes_of[i] = name.encode()
+        return ids
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """Encodes as well; it remembers up to ``remembered`` words and as many pairs of tokens."""
+
+    def __init__(self, definition: str, remembered: int = 400_000):
+        spec = json.loads(definition)
+        ids = self._read(spec)
         self.merge_rank, self.parts, self.rank = {}, {}, {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
@@ -102,7 +116,7 @@ class Codec:
                 pair = last[start] << 20 | token
                 stays = apart.get(pair)
                 if stays is None:
-                    if len(apart) >= 4 * self.remembered:
+                    if len(apart) >= self.remembered:
                         apart.clear()
                     stays = apart[pair] = self._stays(last[start], token)
                 if not stays:
@@ -157,7 +171,7 @@ class Codec:
         are looked up one by one; texts with other white space after a blank, or
         with special tokens, are cut by the pattern.
         """
-        if self.splitter and self.splitter.search(text):
+        if any(name in text for name in self.special):
             parts = [(p, self.special.get(p)) for p in self.splitter.split(text)]
             return b"".join(self.encode(p) if i is None else self._packed([i]) for p, i in parts if p)
         first, *rest = text.split(" ")
@@ -171,21 +185,24 @@ class Codec:
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
-
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple, Decoder] = {}
 
 
-def _codec(definition) -> Codec:
-    """One codec per Python worker and broadcast vocabulary."""
-    key = hash(definition.value)
+def _codec(kind: type[Decoder], definition) -> Decoder:
+    """One codec of a kind per Python worker and broadcast vocabulary."""
+    key = kind, hash(definition.value)
     if key not in _CODECS:
-        _CODECS[key] = Codec(definition.value)
+        _CODECS[key] = kind(definition.value)
     return _CODECS[key]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that few values are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     keep = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), column], [*keep, name])
@@ -197,8 +214,8 @@ def _schema(docs: DataFrame, **added) -> T.StructType:
 
 def _encoded(definition, text: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(definition)
-        for batch in batches:
+        codec = _codec(Codec, definition)
+        for batch in _slices(batches):
             rows = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
             yield _replaced(batch, ids, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(rows), np.int32))))
@@ -208,8 +225,8 @@ def _encoded(definition, text: str, ids: str):
 
 def _decoded(definition, ids: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(definition)
-        for batch in batches:
+        codec = _codec(Decoder, definition)
+        for batch in _slices(batches):
             rows = [codec.decode(i or []) for i in batch.column(ids).to_pylist()]
             yield _replaced(batch, text, pa.array(rows, pa.string()))
 
