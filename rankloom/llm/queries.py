@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, host_rules, quality_trees, simhash, tiling, token_counts, url_rules
+from rankloom.llm import bpe, chat, host_rules, quality_trees, simhash, tiling, token_counts, url_rules, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,23 @@ def op6_bpe_round_trip(spark, sf):
     )
 
 
+@query
+def op7_warc_transactions(spark, sf):
+    made = warc.round_trip(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return made.select("metadata.page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "metadata.refers_to")
+
+
+ORACLES["op7_warc_transactions"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS s FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY page_id DESC) AS k, max(page_id) OVER (PARTITION BY s) AS best FROM p)
+SELECT page_id, payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(('0x' || substr(s, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8)) & 31 AS INTEGER), 1), '' ORDER BY i) FROM range(32) t(i)) AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN k > 1 THEN best END AS refers_to
+FROM r
+"""
+
+
 @query
 def op8_host_rules(spark, sf):
     judged = host_rules.judge(table(spark, sf, "documents"))
