@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, host_rules, quality_trees, simhash, tiling, token_counts, url_rules, warc
+from rankloom.llm import bpe, chat, host_rules, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,12 @@ def op3_token_counts(spark, sf):
     )
 
 
+@query
+def op4_maximal_repeats(spark, sf):
+    rest = repeats.without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def quality_forest(spark, sf):
     """Trees fitted to the documents table and those of its labels that are not held out."""
     labels = table(spark, sf, "labels").where(~quality_trees.held_out(F.col("doc_id")))
