@@ -237,48 +237,51 @@ def maximal_repeats(rights: list[bytes], lefts: list[bytes], length: int) -> Ite
                 yield left, right, group
 
 
-COVER = "key long, begin long, end long"
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
-def _covers(keys, begins, ends) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, begins, ends)], ["key", "begin", "end"])
+def repeats(surroundings: DataFrame, length: int, groups: bool = False) -> DataFrame:
+    """Maximal repeats by gram: what of each anchor's text they cover, (key, begin, end).
 
+    All repeats around an anchor hold it, so together they cover one span, and
+    an anchor makes one row at most. With ``groups`` every occurrence of every
+    repeat is given: (key, begin, end, gram, number), where gram and number name
+    the repeat.
+    """
 
-def repeats(surroundings: DataFrame, length: int) -> DataFrame:
-    """(key, begin, end, repeat, bytes): every occurrence of every maximal repeat, by gram."""
-
-    def of_gram(members: list[tuple[int, int, bytes]], gram: int, out: list) -> None:
-        places, lows, highs = _unpacked(np.array([m[1] for m in members]))
-        rights = [m[2][h:] for m, h in zip(members, highs.tolist(), strict=True)]
-        lefts = [m[2][:h][::-1] for m, h in zip(members, highs.tolist(), strict=True)]
-        for number, (left, right, group) in enumerate(maximal_repeats(rights, lefts, length)):
+    def of_gram(members: list[tuple[int, int, bytes]], gram: int) -> list[tuple]:
+        places, _, highs = (x.tolist() for x in _unpacked(np.array([m[1] for m in members])))
+        rights = [m[2][h:] for m, h in zip(members, highs, strict=True)]
+        lefts = [m[2][:h][::-1] for m, h in zip(members, highs, strict=True)]
+        found = maximal_repeats(rights, lefts, length)
+        if groups:
+            return [(members[m][0], places[m] - left, places[m] + right, gram, k) for k, (left, right, group) in enumerate(found) for m in group]
+        reach = {}
+        for left, right, group in found:
             for m in group:
-                at = int(places[m])
-                out.append((members[m][0], at - left, at + right, gram, number))
+                before, after = reach.get(m, (0, 0))
+                reach[m] = max(left, before), max(right, after)
+        return [(members[m][0], places[m] - left, places[m] + right) for m, (left, right) in reach.items()]
+
+    names = ["key", "begin", "end", "gram", "number"] if groups else ["key", "begin", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, members = None, []
-
-        def batch_of(rows):
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "begin", "end", "gram", "number"])
-
         for batch in batches:
             out = []
             for g, key, pack, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != gram:
                     if len(members) > 1:
-                        of_gram(members, gram, out)
+                        out += of_gram(members, gram)
                     gram, members = g, []
                 members.append((key, pack, text))
-            yield batch_of(out)
-        out = []
-        if len(members) > 1:
-            of_gram(members, gram, out)
-        yield batch_of(out)
+            yield _rows(out, names)
+        yield _rows(of_gram(members, gram) if len(members) > 1 else [], names)
 
     met = surroundings.repartition("gram").sortWithinPartitions("gram")
-    return met.select("gram", "key", "pack", "around").mapInArrow(run, COVER + ", gram long, number long")
+    return met.select("gram", "key", "pack", "around").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_windows(surroundings: DataFrame, length: int) -> DataFrame:
@@ -294,8 +297,7 @@ def repeated_windows(surroundings: DataFrame, length: int) -> DataFrame:
                     for k in range(len(text) - length + 1):
                         digest = xxh3_128_intdigest(text[k : k + length])
                         rows.append((key, place - high + k, digest >> 65, digest & (1 << 63) - 1))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "begin", "w1", "w2"])
+                yield _rows(rows, ["key", "begin", "w1", "w2"])
 
     windows = surroundings.select("key", "pack", "around").mapInArrow(run, "key long, begin long, w1 long, w2 long")
     often = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
@@ -345,10 +347,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = 32
     low = F.expr(f"pack >> {BITS + STATES} & {(1 << BITS) - 1}")
     covers = found.where("covered").select("key", (place - high).alias("begin"), (place - low + length).alias("end"))
     if hot.isEmpty():
-        covers = covers.unionAll(repeats(surroundings(keyed, asked, length), length).select("key", "begin", "end"))
+        covers = covers.unionAll(repeats(surroundings(keyed, asked, length), length))
     else:
         few, many = asked.join(hot, "gram", "left_anti"), asked.join(hot, "gram", "left_semi")
-        covers = covers.unionAll(repeats(surroundings(keyed, few, length), length).select("key", "begin", "end"))
+        covers = covers.unionAll(repeats(surroundings(keyed, few, length), length))
         covers = covers.unionAll(repeated_windows(surroundings(keyed, many, length), length))
     spans = covers.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     met = keyed.join(spans, "key", "left")
