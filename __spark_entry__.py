@@ -25,7 +25,6 @@ from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
 from rankloom.plans import recommend as recommend_plan  # noqa: E402
 from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
-from rankloom.session import read_table  # noqa: E402
 from rankloom.sources import export  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
 
@@ -82,13 +81,8 @@ def oracle_sql() -> dict[str, str]:
 # --- inputs -----------------------------------------------------------------
 
 
-# Tables whose rows take real work; single test files of them are spread.
-_HEAVY = {"documents", "pages", "embeddings"}
-
-
-def _load(spark, sf, name, spread=True):
-    path = f"{sf}/{name}.parquet"
-    return read_table(spark, path) if spread and name in _HEAVY else spark.read.parquet(path)
+def _load(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _raw_catalog(spark, sf):
@@ -223,17 +217,17 @@ searches AS (
 
 @query("SELECT doc_id, text, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def dedupe_keep_first(spark, sf):
-    docs = _load(spark, sf, "documents", spread=False).select("doc_id", "text", "lang", "source")
+    docs = _load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     return rank.keep_first(docs, "text", "doc_id")
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT text) AS n_kept, count(*) - count(DISTINCT text) AS n_removed FROM documents")
 def dedupe_counts(spark, sf):
-    return clean.duplicates_removed(_load(spark, sf, "documents", spread=False), "text")
+    return clean.duplicates_removed(_load(spark, sf, "documents"), "text")
 
 
 def _labelled(spark, sf):
-    docs, labels = _load(spark, sf, "documents", spread=False), _load(spark, sf, "labels")
+    docs, labels = _load(spark, sf, "documents"), _load(spark, sf, "labels")
     joined = docs.join(labels, "doc_id", "left")
     return joined.select(
         "doc_id",
@@ -415,7 +409,7 @@ def tfidf_topk(spark, sf):
     )
     index = TfidfIndex.fit(docs, "text")
     asked = _load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = retrieve(index, index.transform(docs), asked, 20, payload=["item_type"])
+    found = retrieve(index, index.transform(docs), asked, 20, payload=["item_type"], decimals=6)
     return found.select("query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank")
 
 
@@ -426,7 +420,7 @@ def tfidf_topk(spark, sf):
 def dense_topk(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items).select("query_id", "vector")
-    found = vectors.recommend_dense(items, asked, 10)
+    found = vectors.recommend_dense(items, asked, 10, decimals=6)
     return found.select("query_id", "item_id", "name", F.round("score", 6).alias("score"), "rank")
 
 
@@ -436,7 +430,7 @@ FROM pairs WHERE coalesce(query_type, '') IN ('', 'ALL') OR lower(query_type) =
 QUALIFY rank <= k""", ints=("rank",))
 def type_filter_topk(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.recommend_dense(items, _vector_queries(items), 10)
+    found = vectors.recommend_dense(items, _vector_queries(items), 10, decimals=6)
     return found.select("query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank")
 
 
@@ -447,7 +441,7 @@ SELECT query_id, item_id, item_type, score, new_rank AS rank FROM cut WHERE new_
 def overfetch_filter(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items)
-    pool = nearest(items, asked.select("query_id", "vector"), 20, payload=["item_type"])
+    pool = nearest(items, asked.select("query_id", "vector"), 20, payload=["item_type"], decimals=6)
     return rank.overfetch(pool, asked).select(
         "query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank"
     )
@@ -463,7 +457,7 @@ SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER
 FROM pairs WHERE item_id <> query_id QUALIFY rank <= 5""", ints=("rank",))
 def neighbours(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.neighbours(items, items, 5)
+    found = vectors.neighbours(items, items, 5, decimals=6)
     return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -472,7 +466,7 @@ SELECT query_id, item_id, name, score, row_number() OVER (PARTITION BY query_id
 FROM pairs WHERE item_id <> query_id AND query_id IN (SELECT item_id FROM chosen) QUALIFY rank <= 5""", ints=("rank",))
 def sampled_neighbours(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.neighbours(items, vectors.sample_items(items, 3), 5, payload=["name"])
+    found = vectors.neighbours(items, vectors.sample_items(items, 3), 5, payload=["name"], decimals=6)
     return found.select("query_id", "item_id", "name", F.round("score", 6).alias("score"), "rank")
 
 
@@ -483,10 +477,44 @@ FROM d QUALIFY rank <= 5""", ints=("rank",))
 def l2_knn(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items).select("query_id", "vector")
-    found = vectors.l2_nearest(items, asked, 5)
+    found = vectors.l2_nearest(items, asked, 5, decimals=6)
     return found.select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
 
 
+def _scaled_knn(spark, sf, factor):
+    """Exact search among vectors of another scale; distances are given in its unit."""
+    scaled = F.transform("vector", lambda x: x.cast("double") * F.lit(factor))
+    items = _vector_items(spark, sf).withColumn("vector", scaled)
+    asked = _vector_queries(items).select("query_id", "vector")
+    found = vectors.l2_nearest(items, asked, 5)
+    return found.select("query_id", "item_id", F.round(F.col("distance") / factor / factor, 6).alias("distance"), "rank")
+
+
+_SCALED_SQL = f"""WITH {_ITEMS_SQL}, d AS (SELECT a.query_id, i.item_id,
+    list_sum(list_transform(list_zip(a.v, i.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS exact FROM asks a, items i)
+SELECT query_id, item_id, round(exact, 6) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY exact, item_id) AS rank
+FROM d QUALIFY rank <= 5"""
+
+
+@query(_SCALED_SQL, ints=("rank",))
+def l2_knn_large(spark, sf):
+    return _scaled_knn(spark, sf, 1e7)
+
+
+@query(_SCALED_SQL, ints=("rank",))
+def l2_knn_small(spark, sf):
+    return _scaled_knn(spark, sf, 1e-5)
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT query_id, item_id, name, score, rank FROM ranked WHERE rank <= 10", ints=("rank",))
+def dense_topk_blocks(spark, sf):
+    """The same search with the queries in several blocks, as a table beyond one block's bounds has."""
+    items = _vector_items(spark, sf)
+    asked = _vector_queries(items).select("query_id", "vector")
+    found = nearest(items, asked, 10, payload=["name"], decimals=6, block_rows=200)
+    return found.select("query_id", "item_id", "name", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT count(*) AS n_rows, max(len(embedding)) AS dimension, sum(len(embedding)) * 4 / 1048576.0 AS size_mb FROM embeddings", ints=("dimension",))
 def vector_stats(spark, sf):
     return vectors.vector_stats(_vector_items(spark, sf))
@@ -536,7 +564,7 @@ def text_search(spark, sf):
     )
     items = vectors.encode(docs, "text", _letter_encoder)
     asked = _load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    found = vectors.text_search(items, asked, _letter_encoder, 5)
+    found = vectors.text_search(items, asked, _letter_encoder, 5, decimals=6)
     return found.select("query_id", "item_id", "name", "item_type", F.round("score", 6).alias("score"), "rank")
 
 
@@ -566,8 +594,8 @@ SELECT query_id, item_id, rank, score, CASE WHEN rank = 1 THEN method END AS met
 def fallback_union(spark, sf):
     items = _vector_items(spark, sf)
     asked = _vector_queries(items)
-    typed = vectors.recommend_dense(items, asked.drop("k"), 3)
-    plain = vectors.recommend_dense(items, asked.select("query_id", "vector"), 3)
+    typed = vectors.recommend_dense(items, asked.drop("k"), 3, decimals=6)
+    plain = vectors.recommend_dense(items, asked.select("query_id", "vector"), 3, decimals=6)
     failed = asked.where(F.col("k") == 4)
     both = rank.tag_first(rank.with_fallback(typed, plain, failed))
     return both.select("query_id", "item_id", "rank", F.round("score", 6).alias("score"), "method")
@@ -577,7 +605,7 @@ def fallback_union(spark, sf):
 FROM ranked WHERE rank <= 10 GROUP BY query_id""")
 def shown_of_total(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 10)
+    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 10, decimals=6)
     return rank.shown_of_total(found, "Label3")
 
 
@@ -756,7 +784,7 @@ def recommend_batch(spark, sf):
         F.when(F.col("item_id") % 2 == 0, F.lit("gENERAL")).alias("item_type"),
         F.lit(None).cast("string").alias("session_id"),
     )
-    answers = recommend_plan.answer(recommend_plan.prepare_requests(requests), index, items)
+    answers = recommend_plan.answer(recommend_plan.prepare_requests(requests), index, items, decimals=6)
     found = rank.tag_first(recommend_plan.results(answers))
     return found.select(
         "request_id", "item_id", "name", "url", "item_type", F.round("score", 6).alias("score"), "rank", "method"
@@ -844,7 +872,7 @@ def top_items(spark, sf):
 @query(f"WITH {_ITEMS_SQL} SELECT item_type, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY item_type")
 def result_types(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 10)
+    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 10, decimals=6)
     return searchlog.result_types(found)
 
 
@@ -888,7 +916,7 @@ def truth_counts(spark, sf):
 def query_hit_recall(spark, sf):
     items = _vector_items(spark, sf)
     asked = _label_queries(items)
-    found = vectors.recommend_dense(items, asked.select("query_id", "vector"), 10)
+    found = vectors.recommend_dense(items, asked.select("query_id", "vector"), 10, decimals=6)
     named = found.join(asked.select("query_id", "query"), "query_id")
     per = evaluate.query_metrics(_truth(items), named)
     return per.select("query", "hit_5", F.round("recall_5", 6).alias("recall_5"), "hit_10", F.round("recall_10", 6).alias("recall_10"))
@@ -898,7 +926,7 @@ def query_hit_recall(spark, sf):
 round(avg(hit_10), 6) AS hit_10, round(avg(recall_10), 6) AS recall_10 FROM per""")
 def hit_recall(spark, sf):
     items = _vector_items(spark, sf)
-    means = evaluate_dense(_truth(items), _label_queries(items), items)
+    means = evaluate_dense(_truth(items), _label_queries(items), items, decimals=6)
     return means.select("n_queries", *[F.round(c, 6).alias(c) for c in means.columns if c != "n_queries"])
 
 
@@ -978,7 +1006,7 @@ def catalog_from_pages(spark, sf):
 
 def _export_rows(spark, sf):
     items = _vector_items(spark, sf)
-    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 3)
+    found = vectors.recommend_dense(items, _vector_queries(items).select("query_id", "vector"), 3, decimals=6)
     asked = F.concat(F.lit("like "), F.col("query_id").cast("string")).alias("query")
     return found.withColumn("score", F.round("score", 6)).select("*", asked, F.lit("semantic").alias("method"))
 

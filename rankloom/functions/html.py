@@ -7,9 +7,10 @@ from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.text import NO_DESCRIPTION, shorten, trim_space
 
@@ -118,22 +119,28 @@ def _wanted_texts(page: str) -> tuple[str | None, str | None, str | None]:
     return heads[0], heads[1], None
 
 
-def _page_texts(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in pages:
-        rows = []
-        for page in batch:
-            try:
-                rows.append(_wanted_texts(page))
-            except Exception:
-                rows.append(None)
-        ok = [r is not None for r in rows]
-        rows = [r or (None, None, None) for r in rows]
-        yield pd.DataFrame(rows, columns=["h1", "title", "paragraph"], dtype=object).assign(ok=ok)
+def read_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` without ``html`` but with h1, title and paragraph; rows that can't be read are left out.
 
-
-def page_texts(html: Column) -> Column:
-    """struct(h1, title, paragraph, ok) of a non-null page."""
-    return F.pandas_udf(_page_texts, "h1 string, title string, paragraph string, ok boolean")(html)
+    Reading and leaving out are one step, so no filter makes Spark read a page twice.
+    """
+    others = [f for f in pages.schema if f.name not in (html, "h1", "title", "paragraph")]
+    schema = T.StructType([*others, *(T.StructField(n, T.StringType()) for n in ("h1", "title", "paragraph"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, read = [], []
+            for page in batch.column(html).to_pylist():
+                try:
+                    texts.append(_wanted_texts(page))
+                    read.append(True)
+                except Exception:
+                    read.append(False)
+            kept = batch.filter(pa.array(read, pa.bool_()))
+            made = [pa.array([t[k] for t in texts], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(kept.column(f.name) for f in others), *made], schema.names)
+
+    return pages.mapInArrow(run, schema)
 
 
 def page_name(h1: Column, title: Column, site_suffix: str = "") -> Column:

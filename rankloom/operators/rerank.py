@@ -63,27 +63,36 @@ def build_prompts(pools: DataFrame) -> DataFrame:
     return pools.withColumn("prompt", prompt(F.col("query"), F.col("k"), F.col("pool")))
 
 
-def answer_prompts(prompts: DataFrame, load_answerer: Callable[[], Callable[[str], str | None]]) -> DataFrame:
+def answer_prompts(
+    prompts: DataFrame, load_answerer: Callable[[], Callable], batch_size: int | None = None, tasks: int | None = None
+) -> DataFrame:
     """(query_id, content) from a caller's function, made once per task.
 
-    A prompt whose call fails gets a null answer and keeps its pool order.
+    Prompts are few and small but answers slow, so they are dealt to ``tasks``
+    tasks (the cluster's cores by default) first. The function takes one prompt,
+    or with ``batch_size`` a list of that many, and gives as many answers. A call
+    that fails leaves its prompts without an answer; they keep their pool order.
     """
     schema = T.StructType([prompts.schema["query_id"], T.StructField("content", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answer = load_answerer()
 
-        def one(text):
+        def asked(texts):
             try:
-                return answer(text)
+                found = answer(texts[0]) if batch_size is None else answer(texts)
             except Exception:
-                return None
+                return [None] * len(texts)
+            return [found] if batch_size is None else list(found)
 
         for batch in batches:
-            content = pa.array([one(t) for t in batch.column("prompt").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), content], ["query_id", "content"])
+            for at in range(0, batch.num_rows, batch_size or 1):
+                part = batch.slice(at, batch_size or 1)
+                content = pa.array(asked(part.column("prompt").to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), content], ["query_id", "content"])
 
-    return prompts.select("query_id", "prompt").mapInArrow(run, schema)
+    dealt = prompts.select("query_id", "prompt").repartition(tasks or prompts.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, schema)
 
 
 def parse_titles(content: Column) -> Column:

@@ -125,7 +125,9 @@ class TfidfIndex:
         return long.join(terms, "term_ix").select(key, "term", "weight")
 
 
-def retrieve(index: TfidfIndex, items: DataFrame, queries: DataFrame, k: int = POOL, payload=()) -> DataFrame:
+def retrieve(
+    index: TfidfIndex, items: DataFrame, queries: DataFrame, k: int = POOL, payload=(), decimals: int | None = None
+) -> DataFrame:
     """The k items closest to each query text, items without a type left out.
 
     ``items`` hold item_id, indices, weights from :meth:`TfidfIndex.transform`
@@ -134,4 +136,4 @@ def retrieve(index: TfidfIndex, items: DataFrame, queries: DataFrame, k: int = P
     """
     vectors = index.transform(queries.select("query_id", "query"), "query")
     typed = items.where(F.col("item_type").isNotNull()) if "item_type" in items.columns else items
-    return nearest(typed, vectors, k, metric="dot", payload=payload)
+    return nearest(typed, vectors, k, metric="dot", payload=payload, decimals=decimals)

@@ -2,16 +2,13 @@
 
 Items are streamed as Arrow batches past a block of queries; each task keeps
 only the best ``k`` rows per query, so no (query, item) pair leaves a task
-unless it may still win. Two ways bring queries and items together:
-
-* a query table within a checked size is broadcast, and items are scanned
-  where they lie, without a shuffle;
-* a larger one is cut into cells, items into cells of bounded size, and each
-  pair of cells is one group of a co-grouped shuffle.
+unless it may still win. Queries are cut into blocks of bounded bytes; each is
+broadcast, and the items are scanned once per block where they lie.
 
 Vectors are either a dense ``vector`` array or sparse ``indices`` / ``weights``
-arrays. Ranking uses the score in millionths, ties by ``item_id``, so it does
-not depend on the order of floating-point sums.
+arrays. Ranking uses the score to twelve significant digits, or to a fixed
+number of decimals if one is given, ties by ``item_id``, so it does not depend
+on the order of floating-point sums. Scores that are not finite are an error.
 """
 
 from __future__ import annotations
@@ -27,16 +24,15 @@ from pyspark.sql import types as T
 
 from rankloom.functions.text import no_type_filter
 from rankloom.operators.rank import top_rows, wide_salts
+from rankloom.session import shared_folder
 
-MICRO = 1_000_000
-BROADCAST_ROWS = 4096
-BROADCAST_BYTES = 64 << 20
-CELL_QUERIES = 1024
-CELL_ITEMS = 32768
+BLOCK_ROWS = 65536
+BLOCK_BYTES = 64 << 20
+SIGNIFICANT_BITS = 40
 _BLOCK_QUERIES = 256
 _CHUNK_ROWS = 4096
 _CHUNK_PRODUCTS = 2 << 20
-_EMPTY = np.iinfo(np.int64).min
+_EMPTY = -np.inf
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -146,58 +142,99 @@ def query_blocks(table) -> list[dict]:
     return blocks
 
 
+def _rank_key(score, decimals):
+    """What scores are ranked by: rounded to decimals, or relative to their size."""
+    if decimals is not None:
+        # Beyond 2^53 in units of the last decimal there is nothing to round.
+        return np.where(np.abs(score) < 2.0**53 / 10.0**decimals, np.round(np.clip(score, -1e300, 1e300), decimals), score) + 0.0
+    mantissa, exponent = np.frexp(score)
+    return np.ldexp(np.rint(np.ldexp(mantissa, SIGNIFICANT_BITS)), exponent - SIGNIFICANT_BITS) + 0.0
+
+
 class _Best:
-    """The running best k of each query of one block."""
+    """The running best k of each query of one block; free places have the key minus infinity."""
 
-    def __init__(self, queries, k):
+    def __init__(self, queries, k, decimals):
         self.k = k
+        self.decimals = decimals
         self.key = np.full((queries, k), _EMPTY)
         self.item = np.full((queries, k), _NO_ID)
-        self.score = np.zeros((queries, k))
+        self.score = np.full((queries, k), _EMPTY)
         self.ref = np.full((queries, k), -1)
 
     def merge(self, score, item, ref):
-        """Take in scores (queries x items) of items in ascending id order."""
-        key = np.rint(score * MICRO).astype(np.int64)
+        """Take in scores (queries x items) of items in ascending id order; minus infinity is no candidate."""
+        key = _rank_key(score, self.decimals)
         count = key.shape[1]
         if count > self.k:
-            if np.abs(key).max() < (1 << 62) // count:
-                unique = key * count + np.arange(count - 1, -1, -1)
-                pick = np.argpartition(unique, count - self.k, axis=1)[:, count - self.k :]
-            else:
-                pick = np.argsort(-key, axis=1, kind="stable")[:, : self.k]
+            least = np.partition(key, count - self.k, axis=1)[:, [count - self.k]]
+            above, equal = key > least, key == least
+            room = self.k - above.sum(axis=1, keepdims=True)
+            taken = above | (equal & (np.cumsum(equal, axis=1) <= room))
+            pick = np.nonzero(taken)[1].reshape(len(key), self.k)
         else:
             pick = np.broadcast_to(np.arange(count), key.shape)
         key = np.hstack([self.key, np.take_along_axis(key, pick, 1)])
         item = np.hstack([self.item, item[pick]])
         score = np.hstack([self.score, np.take_along_axis(score, pick, 1)])
         ref = np.hstack([self.ref, ref[pick]])
-        order = np.lexsort((item, -1 - key), axis=1)[:, : self.k]
+        order = np.lexsort((item, -key), axis=1)[:, : self.k]
         self.key = np.take_along_axis(key, order, 1)
         self.item = np.take_along_axis(item, order, 1)
         self.score = np.take_along_axis(score, order, 1)
-        self.ref = np.take_along_axis(ref, order, 1)
+        self.ref = np.where(self.key == _EMPTY, -1, np.take_along_axis(ref, order, 1))
 
 
 class Scorer:
     """Best items of every block over the batches given to ``add``."""
 
-    def __init__(self, blocks, k, metric, payload):
+    def __init__(self, blocks, k, metric, payload, decimals=None):
         self.blocks = blocks
-        self.best = [_Best(len(b["rows"]), k) for b in blocks]
+        self.best = [_Best(len(b["rows"]), k, decimals) for b in blocks]
         self.metric = metric
         self.payload = list(payload)
         self.kept = None
 
-    def _score(self, vectors, rows, block):
+    def _score(self, vectors, rows, block, best):
         product = vectors.products(rows, block)
-        if self.metric == "dot":
-            return product
-        square = vectors.squares(rows)
-        if self.metric == "cosine":
-            norm = np.sqrt(block["square"][:, None] * square)
-            return product / np.where(norm == 0, 1.0, norm)
-        return -np.maximum(block["square"][:, None] + square - 2.0 * product, 0.0)
+        if self.metric == "l2":
+            score = self._minus_distances(vectors, rows, block, best, product)
+        elif self.metric == "dot":
+            score = product
+        else:
+            norm = np.sqrt(block["square"])[:, None] * np.sqrt(vectors.squares(rows))
+            score = product / np.where(norm == 0, 1.0, norm)
+        if not (np.isfinite(score) | (score == _EMPTY)).all():
+            raise ValueError("vectors must give finite scores")
+        return score
+
+    def _minus_distances(self, vectors, rows, block, best, product):
+        """Squared distances of all that may be among the best k, from differences; others are no candidates.
+
+        The product form gives each distance up to a bound of its error; what is
+        farther than the k-th by more than both bounds can't win.
+        """
+        if "matrix" not in block:
+            raise ValueError("l2 needs dense vectors")
+        square = block["square"][:, None] + vectors.squares(rows)
+        if not np.isfinite(square).all():
+            raise ValueError("vectors must give finite scores")
+        error = square * (4 * (block["matrix"].shape[1] + 4) * np.finfo(float).eps)
+        rough = square - 2.0 * product
+        worst = rough + error
+        k = best.k
+        limit = np.partition(worst, k - 1, axis=1)[:, k - 1] if worst.shape[1] > k else np.full(len(worst), np.inf)
+        limit = np.minimum(limit, np.where(best.key[:, -1] == _EMPTY, np.inf, -best.score[:, -1]))
+        # Room for what only rounding sets apart.
+        limit = limit * (1 + 1e-9) + (0.0 if best.decimals is None else 10.0**-best.decimals)
+        query, item = np.nonzero(rough - error <= limit[:, None])
+        score = np.full(rough.shape, _EMPTY)
+        step = max(1, _CHUNK_PRODUCTS // max(1, block["matrix"].shape[1]))
+        for at in range(0, len(query), step):
+            q, i = query[at : at + step], item[at : at + step]
+            apart = block["matrix"][q] - vectors.values[rows[i]]
+            score[q, i] = -np.einsum("ij,ij->i", apart, apart)
+        return score
 
     def add(self, batch):
         if not batch.num_rows:
@@ -213,7 +250,7 @@ class Scorer:
         for block, best in zip(self.blocks, self.best):
             rows = by_id if block["kind"] is None else by_id[kinds[by_id] == block["kind"]]
             for chunk in vectors.chunks(rows, block):
-                best.merge(self._score(vectors, chunk, block), ids[chunk], chunk + base)
+                best.merge(self._score(vectors, chunk, block, best), ids[chunk], chunk + base)
         if own is not None:
             self._compact(own)
 
@@ -229,7 +266,7 @@ class Scorer:
     def result(self, query_ids):
         """One Arrow table of winners per block."""
         for block, best in zip(self.blocks, self.best):
-            query, place = np.nonzero(best.key != _EMPTY)
+            query, place = np.nonzero(best.key > _EMPTY)
             columns = {
                 "query_id": query_ids.take(pa.array(block["rows"][query])),
                 "item_id": pa.array(best.item[query, place]),
@@ -279,17 +316,18 @@ def nearest(
     k: int,
     metric: str = "cosine",
     payload: Sequence[str] = (),
-    broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_queries: int = CELL_QUERIES,
-    cell_items: int = CELL_ITEMS,
+    decimals: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rank the k best items of each query: (query_id, item_id, score, rank, payload).
 
     ``items``: item_id and a vector, item_type where a query may ask for one.
     ``queries``: query_id and a vector, query_type optional; the type filter
     applies before the cut. ``metric``: cosine, dot, or l2 (score is minus the
-    squared distance). Every item is a candidate, one scoring zero included.
+    squared distance, computed from differences). Every item is a candidate, one
+    scoring zero included. Scores rank as they are, to twelve significant digits,
+    or rounded to ``decimals``.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -306,66 +344,56 @@ def nearest(
             right.schema["query_id"],
             T.StructField("item_id", T.LongType()),
             T.StructField("score", T.DoubleType()),
-            T.StructField("score_key", T.LongType()),
+            T.StructField("score_key", T.DoubleType()),
             *[left.schema[c] for c in payload],
         ]
     )
-    # At most broadcast_rows + 1 rows come back, whatever the table's size.
-    head = right.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows and head.nbytes <= broadcast_bytes:
-        found = _by_broadcast(left, head, k, metric, payload, schema)
-    else:
-        found = _by_cells(left, right, k, metric, payload, schema, cell_queries, cell_items)
+    found = None
+    for head in _query_tables(left, right, block_rows, block_bytes):
+        if found is None and head[0] > 1:
+            # Scanned once per block, so it must not be computed each time.
+            shared_folder(left.sparkSession)
+            left = left.checkpoint()
+        part = _by_broadcast(left, head[1], k, metric, payload, schema, decimals)
+        found = part if found is None else found.unionAll(part)
     best = [F.col("score_key").desc(), F.col("item_id").asc()]
     # Every task holds rows of every query, so the last step is narrowed twice.
     ranked = top_rows(found, ["query_id"], best, k, salts=wide_salts(found))
     return ranked.drop("score_key")
 
 
-def _by_broadcast(items, head, k, metric, payload, schema):
+def _query_tables(items, queries, rows, size):
+    """(number of blocks, block) for every block of queries, each within ``rows`` and about ``size`` bytes.
+
+    A first look reads a few rows of a small table; a larger one is written
+    once, measured, and dealt out by hash, one block after the other.
+    """
+    look = min(rows, 4096)
+    head = queries.limit(look + 1).toArrow()
+    if head.num_rows <= look and head.nbytes <= size:
+        yield 1, head
+        return
+    shared_folder(queries.sparkSession)
+    queries = queries.checkpoint()
+    vector = F.size("vector") * 4 if "vector" in queries.columns else F.size("indices") * 12
+    n, total = queries.agg(F.count("*"), F.sum(vector.cast("long") + 32)).first()
+    blocks = max(1, -(-n // rows), -(-(total or 0) // size))
+    for block in range(blocks):
+        share = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        yield blocks, queries.where(share).toArrow()
+
+
+def _by_broadcast(items, head, k, metric, payload, schema, decimals):
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(
         {"blocks": query_blocks(head), "ids": _plain(head.column("query_id"))}
     )
 
     def score(batches):
-        scorer = Scorer(shared.value["blocks"], k, metric, payload)
+        scorer = Scorer(shared.value["blocks"], k, metric, payload, decimals)
         for batch in batches:
             scorer.add(batch)
         for table in scorer.result(shared.value["ids"]):
             yield from table.to_batches()
 
     return items.mapInArrow(score, schema)
-
-
-def _by_cells(items, queries, k, metric, payload, schema, cell_queries, cell_items):
-    query_cells = -(-queries.count() // cell_queries)
-    item_cells = max(1, -(-items.count() // cell_items))
-
-    def cell(key, count):
-        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-
-    def all_cells(count):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = items.withColumn("_i", cell("item_id", item_cells)).withColumn("_q", all_cells(query_cells))
-    right = queries.withColumn("_q", cell("query_id", query_cells)).withColumn("_i", all_cells(item_cells))
-    # Items may ask about themselves: own names keep the two sides' columns apart.
-    names = queries.columns
-    right = right.select("_i", "_q", *[F.col(c).alias(f"_asked_{c}") for c in names])
-    empty = {f.name: [] for f in schema.fields}
-
-    def score(item_table, query_table):
-        parts = []
-        if item_table.num_rows and query_table.num_rows:
-            query_table = pa.table({c: query_table.column(f"_asked_{c}") for c in names})
-            scorer = Scorer(query_blocks(query_table), k, metric, payload)
-            scorer.add(item_table)
-            parts = list(scorer.result(_plain(query_table.column("query_id"))))
-        if parts:
-            return pa.concat_tables(parts)
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        return pa.table(empty, schema=to_arrow_schema(schema))
-
-    return left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(score, schema)

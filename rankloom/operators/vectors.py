@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.topk import nearest
+from rankloom.session import shared_folder
 
 ENCODE_BATCH = 32
 
@@ -75,14 +76,14 @@ def sample_items(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return items.orderBy(order, "item_id").limit(n)
 
 
-def neighbours(items: DataFrame, sampled: DataFrame, k: int = 5, payload=()) -> DataFrame:
+def neighbours(items: DataFrame, sampled: DataFrame, k: int = 5, payload=(), decimals: int | None = None) -> DataFrame:
     """The k most similar *other* items of each sampled item.
 
     One extra row is ranked and the item itself taken out by id, so an exact
     copy of the item stays among its neighbours.
     """
     queries = sampled.select(F.col("item_id").alias("query_id"), "vector")
-    ranked = nearest(items, queries, k + 1, payload=payload)
+    ranked = nearest(items, queries, k + 1, payload=payload, decimals=decimals)
     # Rows of a query are together already, so this window moves no data. The
     # item itself may be missing, if more than k copies of it come first.
     own = F.max(F.when(F.col("item_id") == F.col("query_id"), F.col("rank"))).over(Window.partitionBy("query_id"))
@@ -91,13 +92,15 @@ def neighbours(items: DataFrame, sampled: DataFrame, k: int = 5, payload=()) ->
     return after.withColumn("rank", F.col("rank") - passed).where(F.col("rank") <= k).drop("_own")
 
 
-def recommend_dense(items: DataFrame, queries: DataFrame, k: int = 10, payload=("name", "url", "item_type")) -> DataFrame:
+def recommend_dense(
+    items: DataFrame, queries: DataFrame, k: int = 10, payload=("name", "url", "item_type"), decimals: int | None = None
+) -> DataFrame:
     """Cosine top-k, the type filter applied before the cut.
 
     ``queries`` hold query_id, vector, query_type and may hold a smaller own k.
     """
     typed = items.where(F.col("item_type").isNotNull())
-    ranked = nearest(typed, queries, k, payload=payload)
+    ranked = nearest(typed, queries, k, payload=payload, decimals=decimals)
     if "k" not in queries.columns:
         return ranked
     return (
@@ -107,13 +110,17 @@ def recommend_dense(items: DataFrame, queries: DataFrame, k: int = 10, payload=(
     )
 
 
-def text_search(items: DataFrame, queries: DataFrame, load_encoder, k: int = 5) -> DataFrame:
-    """Encode the query texts and find the k most similar items with their metadata."""
-    encoded = encode(queries.select("query_id", "query"), "query", load_encoder)
-    return nearest(items, encoded.select("query_id", "vector"), k, payload=["name", "item_type", "url"])
+def text_search(items: DataFrame, queries: DataFrame, load_encoder, k: int = 5, decimals: int | None = None) -> DataFrame:
+    """Encode the query texts and find the k most similar items with their metadata.
+
+    The queries' vectors are written once, so each text is encoded once.
+    """
+    shared_folder(queries.sparkSession)
+    encoded = encode(queries.select("query_id", "query"), "query", load_encoder).select("query_id", "vector").checkpoint()
+    return nearest(items, encoded, k, payload=["name", "item_type", "url"], decimals=decimals)
 
 
-def l2_nearest(items: DataFrame, queries: DataFrame, k: int, payload=()) -> DataFrame:
+def l2_nearest(items: DataFrame, queries: DataFrame, k: int, payload=(), decimals: int | None = None) -> DataFrame:
     """Exact k nearest by squared Euclidean distance."""
-    ranked = nearest(items, queries, k, metric="l2", payload=payload)
+    ranked = nearest(items, queries, k, metric="l2", payload=payload, decimals=decimals)
     return ranked.withColumn("distance", F.abs("score")).drop("score")

@@ -24,13 +24,13 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def pools_for(index: TfidfIndex, items: DataFrame, queries: DataFrame) -> DataFrame:
+def pools_for(index: TfidfIndex, items: DataFrame, queries: DataFrame, decimals: int | None = None) -> DataFrame:
     """(query_id, query, k, query_type, pool) with each query's lexical candidates.
 
     The re-ranker is asked for twice the wanted number, as the type filter
     comes after it.
     """
-    ranked = retrieve(index, items, queries, POOL, payload=["name", "url", "item_type"])
+    ranked = retrieve(index, items, queries, POOL, payload=["name", "url", "item_type"], decimals=decimals)
     return queries.join(rr.pack_pool(ranked), "query_id")
 
 
@@ -48,6 +48,8 @@ def answer(
     responses: DataFrame | None = None,
     load_answerer: Callable | None = None,
     dense: tuple[DataFrame, DataFrame] | None = None,
+    batch_size: int | None = None,
+    decimals: int | None = None,
 ) -> DataFrame:
     """One row per request: query_id, cached, reranked, method and the array ``chosen``.
 
@@ -56,37 +58,50 @@ def answer(
     once; repeats are marked cached. ``responses`` (query_id, content) or
     ``load_answerer`` gives the re-ranker's answers; the query_id of a request
     is the first request_id equal to it. ``dense`` = (items with vectors,
-    queries with query_id and vector) serves the failed ones.
+    queries with query_id and vector) serves the failed ones; one without a
+    vector has no result, and without ``dense`` nothing counts as failed. Answers
+    are asked for once and written, so results and logs agree.
     """
     distinct = materialise(rk.distinct_requests(requests))
     queries = distinct.select("query_id", "query", "k", F.col("item_type").alias("query_type"))
-    pools = pools_for(index, items, queries)
+    pools = pools_for(index, items, queries, decimals)
     if responses is None and load_answerer is not None:
         asked = rr.build_prompts(pools.withColumn("k", F.col("k") * 2))
-        responses = rr.answer_prompts(asked, load_answerer)
-    primary = recommend_lexical(pools, responses).select(
-        "query_id", "reranked", F.lit("rag").alias("method"), "chosen"
-    )
+        responses = materialise(rr.answer_prompts(asked, load_answerer, batch_size))
+    primary = recommend_lexical(pools, responses).select("query_id", "reranked", "chosen")
+    missing = F.lit("rag")
     if dense is not None and "failed" in requests.columns:
         failed = requests.where("failed").select(F.col("request_id").alias("query_id"))
         vectors = dense[1].join(failed, "query_id", "left_semi").join(queries, "query_id")
-        # Only the largest wanted k comes to the driver, to bound the ranking.
-        deepest = vectors.agg(F.max("k")).first()[0]
-        if deepest is not None:
-            spare = rr.pack_pool(recommend_dense(dense[0], vectors, deepest)).select(
-                "query_id",
-                F.lit(False).alias("reranked"),
-                F.lit("semantic").alias("method"),
-                F.col("pool").alias("chosen"),
-            )
-            primary = primary.join(failed, "query_id", "left_anti").unionByName(spare)
+        missing = F.when(F.col("failed"), F.lit("semantic")).otherwise(missing)
+        primary = rk.with_fallback(primary, _spare(dense[0], vectors, decimals), failed)
+    else:
+        primary = primary.withColumn("method", F.lit("rag"))
     # One row per distinct request joins each of its repeats; lists open after.
     tagged = rk.attach_representative(requests, distinct)
     return tagged.join(primary, "query_id", "left").withColumn(
-        "method", F.when(F.col("cached"), F.lit("cached")).otherwise(F.coalesce("method", F.lit("rag")))
+        "method", F.when(F.col("cached"), F.lit("cached")).otherwise(F.coalesce("method", missing))
     )
 
 
+def _spare(items: DataFrame, vectors: DataFrame, decimals: int | None) -> DataFrame:
+    """Dense results (query_id, reranked, chosen) of the failed requests, each to its own k.
+
+    Requests are ranked in groups of like k, so that one that asks for many
+    results doesn't deepen the ranking of all; only the few group sizes reach
+    the driver.
+    """
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest("k", F.lit(1))))).cast("int")
+    sized = vectors.withColumn("_size", size)
+    found = None
+    for row in sized.select("_size").distinct().orderBy("_size").collect():
+        part = recommend_dense(items, sized.where(F.col("_size") == row[0]).drop("_size"), row[0], decimals=decimals)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = recommend_dense(items, vectors, 1, decimals=decimals)
+    return rr.pack_pool(found).select("query_id", F.lit(False).alias("reranked"), F.col("pool").alias("chosen"))
+
+
 def results(answers: DataFrame) -> DataFrame:
     """One row per result: request_id, rank, item, score, method, cached, reranked."""
     columns = ["request_id", "query_id", "query", "cached", "reranked", "method", "chosen"]

@@ -50,17 +50,22 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table that several jobs read into the shared folder and read it back.
 
     The rows survive lost executors, and later jobs read only their columns.
+    :func:`drop_materialised` deletes what a session has written so.
     """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return read_table(df.sparkSession, path)
+    return spark.read.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; one of fewer files than cores is spread over the cores.
+_made: dict[str, list[str]] = {}
 
-    A large table has files enough and is scanned where it lies.
-    """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+def drop_materialised(spark: SparkSession) -> int:
+    """Delete the tables this application has materialised; results read from them must be written by then."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -54,7 +54,7 @@ def test_summary_and_top_queries(spark, log):
 
 
 def test_append_clear_and_retry(spark, log, tmp_path):
-    history, analytics, cleared = (str(tmp_path / n) for n in ("h", "q", "h2"))
+    history, analytics = (str(tmp_path / n) for n in ("h", "q"))
     for _ in range(2):  # a retried batch counts once
         store.append_searches(log.where("id <= 3"), history, analytics, "b1", 4)
     store.append_searches(log.where("id > 3"), history, analytics, "b2", 4)
@@ -64,8 +64,13 @@ def test_append_clear_and_retry(spark, log, tmp_path):
     one = store.one_session(table, "b", 4)
     assert [r["query"] for r in one.collect()] == ["SALES"]
     assert "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
-    store.clear_sessions(table, spark.createDataFrame([("a",), ("a",)], "session_id string"), cleared)
-    left = store.read_history(spark, cleared)
+    files = {f: f.stat().st_mtime_ns for f in tmp_path.glob("h/**/*.parquet")}
+    kept = {f for f in files if spark.read.parquet(str(f)).where("session_id = 'a'").count() == 0}
+    assert kept and store.clear_sessions(spark, history, spark.createDataFrame([("a",), ("a",)], "session_id string"), 4) == 1
+    same = {f for f, at in files.items() if f.exists() and f.stat().st_mtime_ns == at}
+    shared_bucket = {f for f in kept if any(f.parent.name == g.parent.name for g in files.keys() - kept)}
+    assert kept - shared_bucket <= same
+    left = store.read_history(spark, history)
     assert [r.session_id for r in left.collect()] == ["b"]
     assert searchlog.session_history(left, "a").count() == 0
     assert store.read_analytics(spark, analytics).count() == 4

@@ -81,3 +81,39 @@ def test_long_tags_do_not_overflow(spark):
     html = '<a data-x="' + "y" * 200_000 + '" href="/view/q">t</a>'
     frame = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert pages.page_links(pages.link_arrays(frame, "/view/", "https://s.test")).first().link == "https://s.test/view/q"
+
+
+def executed(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_read_once(spark):
+    frame = spark.createDataFrame([(1, "u", f"<h1>N</h1><p>{LONG}</p>")], "page_id long, url string, html string")
+    for made in (pages.catalog_rows(frame).select("page_id", "Assessment Name"), catalog_from_pages(frame)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_link_patterns_run_once(spark):
+    frame = spark.createDataFrame(PAGES, "page_id long, html string").repartition(2)
+    plan = pages.page_links(pages.link_arrays(frame, "/view/", "https://site.test"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    stop = pages.until_empty(pages.link_arrays(frame, "/view/", "https://site.test"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in stop
+
+
+@pytest.mark.parametrize(
+    "tag, link",
+    [
+        ('<a href="/view/x/../y/./z">', "/view/y/z"),
+        ('<a title=" href=/view/no" href="/view/yes">', "/view/yes"),
+        ('<a data-href="/view/no" href="/view/yes">', "/view/yes"),
+        ('<a href="/view/caf&eacute;&#47;a&nbsp;b?q">', "/view/café/a\xa0b"),
+        ("<a href=' /view/blank '>", "/view/blank"),
+        ('<a href="/../../view/up">', "/view/up"),
+    ],
+)
+def test_links_resolve_as_in_a_browser(spark, tag, link):
+    frame = spark.createDataFrame([(1, tag)], "page_id long, html string")
+    found = pages.page_links(pages.link_arrays(frame, "/view/", "https://s.test")).collect()
+    assert [r.link for r in found] == ["https://s.test" + link]

@@ -176,6 +176,47 @@ def test_failed_requests_get_dense_results(spark, catalog):
     assert got[2] == [("semantic", "Technical Skills")] * 2
 
 
+@pytest.mark.parametrize("batch_size", [None, 3])
+def test_the_model_is_asked_once_and_by_several_tasks(spark, catalog, tmp_path, batch_size):
+    from rankloom.sources import searchlog as store
+
+    index, items, _ = catalog
+    calls, tasks = spark.sparkContext.accumulator(0), str(tmp_path)
+
+    def load():
+        import pathlib
+
+        from pyspark import TaskContext
+
+        def one(prompt):
+            calls.add(1)
+            pathlib.Path(tasks, str(TaskContext.get().partitionId())).touch()
+            return "1. java"
+
+        return one if batch_size is None else lambda prompts: [one(p) for p in prompts]
+
+    rows = [(i, f"java coding {i % 12}", 2, None, "s") for i in range(36)]
+    requests = plan.prepare_requests(spark.createDataFrame(rows, REQUEST))
+    answers = plan.answer(requests, index, items, load_answerer=load, batch_size=batch_size)
+    assert plan.results(answers).count() == 72
+    times = spark.range(36).select(F.col("id").alias("request_id"), F.lit(1.0).alias("query_time_ms"), F.current_timestamp().alias("created_at"))
+    store.append_searches(plan.searches(answers, times), str(tmp_path / "h"), str(tmp_path / "q"), "b", 4)
+    assert store.read_analytics(spark, str(tmp_path / "q")).count() == 12
+    assert calls.value == 12
+    assert len([p for p in tmp_path.iterdir() if p.is_file()]) > 1
+
+
+def test_failed_request_without_a_vector_has_no_result(spark, catalog):
+    from rankloom.operators.vectors import encode
+
+    index, items, plain = catalog
+    requests = spark.createDataFrame([(1, "java coding", 2, None, "s"), (2, "verbal", 2, None, "s")], REQUEST).withColumn("failed", F.lit(True))
+    dense = encode(plain, "embedding_text", _two_letters)
+    asked = encode(requests.where("request_id = 1").select(F.col("request_id").alias("query_id"), "query"), "query", _two_letters)
+    answers = plan.answer(requests, index, items, dense=(dense, asked.select("query_id", "vector")))
+    assert {(r.request_id, r.method, len(r.chosen or ())) for r in answers.collect()} == {(1, "semantic", 2), (2, "semantic", 0)}
+
+
 def test_result_defaults(spark):
     rows = [(1, 1, None, None, "x", None), (1, 2, "n", "u", "0.5", "T"), (1, 3, "n", "u", None, "T")]
     frame = spark.createDataFrame(rows, "query_id int, rank int, name string, url string, score string, item_type string")

@@ -51,7 +51,7 @@ def ranked(frame):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_rows": 5, "cell_queries": 7, "cell_items": 30}])
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 7}])
 def test_nearest_matches_brute_force(spark, metric, sizes):
     items = make(203, 4, 1)
     queries = [(i, v, [None, "a", "B", "ALL", "", "none"][i % 6]) for i, v, _, _ in make(31, 4, 2)]
@@ -62,12 +62,12 @@ def test_nearest_matches_brute_force(spark, metric, sizes):
     assert got == want
 
 
-def test_items_ask_about_themselves_in_cells(spark):
+def test_items_ask_about_themselves_in_blocks(spark):
     items = spark.createDataFrame(make(120, 4, 8), ITEMS)
     asked = items.select(F.col("item_id").alias("query_id"), "vector", F.col("item_type").alias("query_type"))
     plain = nearest(items, asked, 5, payload=["name"])
-    cells = nearest(items, asked, 5, payload=["name"], broadcast_rows=10, cell_queries=50, cell_items=40)
-    assert sorted(plain.collect()) == sorted(cells.collect())
+    blocks = nearest(items, asked, 5, payload=["name"], block_rows=50)
+    assert sorted(plain.collect()) == sorted(blocks.collect())
 
 
 def test_items_and_queries_without_vector_are_left_out(spark):
@@ -224,3 +224,49 @@ def test_sample_is_capped_and_repeatable(spark):
     items = spark.range(4).select(F.col("id").alias("item_id"))
     assert vectors.sample_items(items, 9).count() == 4
     assert vectors.sample_items(items, 2).collect() == vectors.sample_items(items.repartition(3), 2).collect()
+
+
+def l2(spark, items, query, k, **more):
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(items)], "item_id long, vector array<double>")
+    asked = spark.createDataFrame([(0, [float(x) for x in query])], "query_id long, vector array<double>")
+    return [(r.item_id, r.distance) for r in vectors.l2_nearest(frame, asked, k, **more).orderBy("rank").collect()]
+
+
+def test_large_distances_keep_every_place(spark):
+    assert [i for i, _ in l2(spark, [[4e6], [0], [5e6]], [0], 3)] == [1, 0, 2]
+    assert [i for i, _ in l2(spark, [[0], [1e6], [2e6], [3e6], [4e6], [5e6]], [0], 5, decimals=6)] == [0, 1, 2, 3, 4]
+
+
+def test_small_distances_are_told_apart(spark):
+    assert [i for i, _ in l2(spark, [[5e-4], [4e-4], [0], [1e-4]], [0], 2)] == [2, 3]
+
+
+def test_near_points_far_from_the_origin(spark):
+    found = l2(spark, [[1e6 + 0.002], [1e6 + 0.001], [1e6]] + [[1e6 + j] for j in range(1, 60)], [1e6], 3)
+    assert [i for i, _ in found] == [2, 1, 0]
+    assert found[1][1] == pytest.approx(1e-6, rel=1e-3)
+
+
+def test_scores_that_are_not_finite_are_an_error(spark):
+    for bad in (float("nan"), float("inf"), 1e200):
+        with pytest.raises(Exception, match="finite scores"):
+            l2(spark, [[bad], [1.0]], [0.0], 1)
+
+
+def test_each_text_is_encoded_once_in_blocks(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def run(texts):
+            calls.add(len(texts))
+            return np.array([[len(t), t.count("a") + 1.0] for t in texts])
+
+        return run
+
+    texts = spark.createDataFrame([(i, "a" * (i % 5) + "b" * i, f"n{i}", "A", "u") for i in range(60)], "item_id long, query string, name string, item_type string, url string")
+    items = vectors.encode(texts, "query", load)
+    asked = vectors.encode(texts.select(F.col("item_id").alias("query_id"), "query"), "query", load).checkpoint()
+    assert nearest(items, asked.select("query_id", "vector"), 3, block_rows=20).count() == 180
+    assert calls.value == 120
+    vectors.text_search(items, texts.select(F.col("item_id").alias("query_id"), "query"), load, 3).collect()
+    assert calls.value == 240
