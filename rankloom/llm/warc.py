@@ -7,10 +7,12 @@ largest page_id is the response.
 
 Records are strings that Spark's text writer ends with two line breaks, which is
 WARC's own layout; files are gzip-compressed as a whole by default. They are read
-by Spark's text reader with the end of one record and the version line of the
-next as separator, so that large plain archives are split, and a record's parts
-are cut by their lengths. A payload that holds the version line is sent in HTTP
-chunks that break it, so the separator occurs only between records.
+by Spark's text reader with the version line as separator, so that large plain
+archives are split, and a record's parts are cut by their lengths. (The line
+breaks before it are no part of the separator: in runs of line breaks the reader
+can miss one that begins in the block read before.) A payload that holds the
+version is sent in HTTP chunks that break it, so the separator occurs only at the
+head of records.
 
 Transactions are assembled by joining requests and metadata to the response
 through the concurrent-to identifiers, and revisits to nothing: they carry the
@@ -18,7 +20,7 @@ response's HTTP header, digest and identifier.
 
 Defined results: a null payload or URL is empty. Repeated pages are captures of
 their own, of which one may be the response. A null page_id is smaller than any
-other. Line breaks in an URL are percent-encoded. Other columns are left out. An
+other. Line breaks and the version in an URL are percent-encoded. Other columns are left out. An
 empty table makes no record.
 """
 
@@ -63,7 +65,9 @@ def _record(kind: str, identifier: Column, block: Column, block_type: str, *head
 
 def _captures(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The response of every payload, with its html; and all pages without it, equal rows counted in ``n``."""
-    url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
+    url = F.coalesce("url", F.lit(""))
+    for plain, coded in (("\r", "%0D"), ("\n", "%0A"), (VERSION, VERSION.replace(".", "%2E"))):
+        url = F.replace(url, F.lit(plain), F.lit(coded))
     filled = pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     digest = base32_sha1(F.col("html").cast("binary"))
     filled = filled.withColumns({"digest": digest, "payload_bytes": F.octet_length("html").cast("long")})
@@ -123,7 +127,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = T.StructType([T.StructField("value", T.StringType())])
     # An archive holds plain records only; whatever its folder is called, no columns come from it.
-    lines = spark.read.schema(schema).option("lineSep", END + VERSION + BREAK).text(path)
+    lines = spark.read.schema(schema).option("lineSep", VERSION + BREAK).text(path)
     head = F.substring_index("value", END, 1)
     rows = lines.select("value", head.alias("head"))
     header = lambda name: F.regexp_extract("head", f"(?:^|\\r\\n){name}: ([^\\r\\n]*)", 1)
