@@ -109,7 +109,9 @@ def write_archives(pages: DataFrame, path: str, compression: str = "gzip", salts
     first, copies = _captures(pages)
     response = first.withColumn("copy", F.lit(1)).withColumn("refers_to", F.lit(None).cast("long"))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt")
-    known = first.select("digest", F.col("page_id").alias("refers_to"), F.col("url").alias("first_url"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    # The same rows as ``first``, found without carrying payloads a second time.
+    best = copies.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("best")).select("digest", "best.*")
+    known = best.select("digest", F.col("page_id").alias("refers_to"), F.col("url").alias("first_url"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     met = copies.select("*", salt).join(known, ["digest", "salt"])
     own = F.col("page_id").eqNullSafe(F.col("refers_to")) & (F.col("url") == F.col("first_url"))
     from_ = F.when(own, 2).otherwise(1)
