@@ -327,19 +327,25 @@ def surroundings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, "gram long, key long, pack long, around binary")
 
 
-RESULTS = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept": T.BinaryType()}
+RESULTS = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = 32_768) -> DataFrame:
-    """``docs`` (with a ``text``) with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = 32_768, as_text: bool = False) -> DataFrame:
+    """``docs`` (with a ``text``) with n_bytes, n_removed, n_spans and ``kept``, the bytes that are left.
+
+    ``as_text`` gives ``kept`` as a string, without what remains of cut characters.
+    """
     if not 16 <= length < 1 << BITS:
         raise ValueError(f"a length from 16 to {(1 << BITS) - 1} is needed")
     shared_folder(docs.sparkSession)
-    names = [f for f in docs.schema if f.name not in RESULTS]
-    columns = [F.col(f"`{f.name}`") for f in names]
-    # Rows with equal columns share a key; their results are equal too.
-    hashed = [c for c in docs.columns if c in ("doc_id", "text")]
-    keyed = docs.select(*columns, F.xxhash64(*hashed).alias("key"))
+    results = RESULTS | {"kept": T.StringType() if as_text else T.BinaryType()}
+    fields = [f for f in docs.schema if f.name not in results]
+    # Other columns travel under numbers, so their names can't clash.
+    numbered = [F.col(f"`{f.name}`").alias("text" if f.name == "text" else f"c{k}") for k, f in enumerate(fields)]
+    # Rows of equal id and text share a key; their results are equal too.
+    hashed = [F.col(c) for c in ("doc_id", "text") if c in docs.columns]
+    keyed = docs.select(*numbered, F.xxhash64(*hashed).alias("key"))
+    columns = keyed.columns[:-1]
     found = marks(anchors(keyed, length)).checkpoint()
     asked = found.where("asked").select("key", "gram", "pack")
     hot = asked.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("gram").checkpoint()
@@ -354,25 +360,32 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = 32
         covers = covers.unionAll(repeated_windows(surroundings(keyed, many, length), length))
     spans = covers.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     met = keyed.join(spans, "key", "left")
-    schema = T.StructType([*names, *(T.StructField(n, t) for n, t in RESULTS.items())])
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in results.items())])
+    kinds = [pa.int64()] * 3 + [pa.string() if as_text else pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(at, 256), []
+                batch = whole.slice(at, 256)
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
-                for text, found in zip(texts, batch.column("_spans").to_pylist(), strict=True):
-                    text, kept, done, removed, number = text or b"", [], 0, 0, 0
-                    for begin, end in sorted((s["begin"], s["end"]) for s in found or ()):
-                        if begin > done or not number:
-                            number += 1
-                            kept.append(text[done:begin])
-                            done = begin
-                        if end > done:
-                            removed, done = removed + end - done, end
-                    kept.append(text[done:])
-                    rows.append((len(text), removed, number, b"".join(kept)))
-                made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in names), *made], schema.names)
+                rows = [_cut(t or b"", f or ()) for t, f in zip(texts, batch.column("_spans").to_pylist(), strict=True)]
+                if as_text:
+                    rows = [(*r[:3], r[3].decode("utf-8", "ignore")) for r in rows]
+                made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], schema.names)
 
     return met.mapInArrow(run, schema)
+
+
+def _cut(text: bytes, spans: list[dict]) -> tuple[int, int, int, bytes]:
+    """n_bytes, n_removed, n_spans and what is left of a text without the union of the spans."""
+    kept, done, removed, number = [], 0, 0, 0
+    for begin, end in sorted((s["begin"], s["end"]) for s in spans):
+        if begin > done or not number:
+            number += 1
+            kept.append(text[done:begin])
+            done = begin
+        if end > done:
+            removed, done = removed + end - done, end
+    kept.append(text[done:])
+    return len(text), removed, number, b"".join(kept)

@@ -226,5 +226,4 @@ def classes(docs: DataFrame, bits: int = 4, cell_limit: int = 4096, text: str =
 def keep_one(docs: DataFrame, bits: int = 4) -> DataFrame:
     """One document of each class: that of the smallest doc_id, and of rows that share it any one."""
     firsts = classes(docs, bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    columns = docs.columns
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"]).select(*columns)
+    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi").dropDuplicates(["doc_id"])

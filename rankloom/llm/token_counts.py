@@ -49,8 +49,9 @@ class Counter:
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of every token."""
-        ends = np.cumsum(self.length[self.encoding.encode_ordinary(text)])
-        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        sizes = self.length[np.array(self.encoding.encode_ordinary(text), np.int64)]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
         data = np.frombuffer(text.encode(), np.uint8)
         if len(data) == len(text):
             return starts, ends
