@@ -17,16 +17,26 @@ def words(text: Column) -> Column:
     return F.filter(runs, lambda w: F.length(w) > 1)
 
 
-def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
-    """Add the array of words followed by the pairs of neighbouring words."""
-    size = F.size("_words")
-    pairs = F.zip_with(
-        F.slice("_words", F.lit(1), F.greatest(size - 1, F.lit(0))),
-        F.slice("_words", F.lit(2), size),
+def pairs(words: Column) -> Column:
+    """Neighbouring words joined by a blank; null where one of them is."""
+    size = F.size(words)
+    return F.zip_with(
+        F.slice(words, F.lit(1), F.greatest(size - 1, F.lit(0))),
+        F.slice(words, F.lit(2), size),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
+
+
+def only(words: str, among: list[str]) -> Column:
+    """The array column with nulls for words that aren't in the list; words hold no quotes."""
+    listed = ", ".join(f"'{w}'" for w in among)
+    return F.expr(f"transform({words}, w -> if(w in ({listed}), w, null))")
+
+
+def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
+    """Add the array of words followed by the pairs of neighbouring words."""
     return (
         df.withColumn("_words", words(F.col(text)))
-        .withColumn(out, F.concat("_words", pairs))
+        .withColumn(out, F.concat("_words", pairs(F.col("_words"))))
         .drop("_words")
     )

@@ -17,35 +17,64 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions import tokens
 from rankloom.functions.tokens import with_terms
 from rankloom.operators.topk import nearest
+from rankloom.session import shared_folder
 
 MAX_FEATURES = 8000
 POOL = 20
 
 
-def term_counts(corpus: DataFrame, text: str) -> DataFrame:
-    """Per term: occurrences in the corpus (``total``) and texts holding it (``df``).
+def _counts(rows: DataFrame) -> DataFrame:
+    """Per term of the array column ``terms``: occurrences (``total``) and rows holding it (``df``).
 
     Terms are sorted inside their text, so the first of equal neighbours marks
     a new text and both counts come from one map-side combined aggregation.
     """
-    rows = with_terms(corpus.select(text), text).select(F.sort_array("terms").alias("term"))
+    rows = rows.select(F.sort_array("terms").alias("term"))
     before = F.concat(
         F.array(F.lit(None).cast("string")),
         F.slice("term", F.lit(1), F.greatest(F.size("term") - 1, F.lit(0))),
     )
-    pairs = rows.select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
+    opened = rows.select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
     # A text without words gives one row without a term. Dropped here and not
     # by array size: that filter would be pushed down and tokenise twice.
-    pairs = pairs.where(F.col("term").isNotNull())
+    opened = opened.where(F.col("term").isNotNull())
     new = (~F.col("term").eqNullSafe(F.col("before"))).cast("int")
-    return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum(new).alias("df"))
+    return opened.groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum(new).alias("df"))
+
+
+def term_counts(corpus: DataFrame, text: str) -> DataFrame:
+    """(term, total, df) of all words and word pairs of the corpus."""
+    return _counts(with_terms(corpus.select(text), text))
 
 
 def vocabulary(corpus: DataFrame, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The ``max_features`` most frequent terms, equal counts in term order."""
-    return term_counts(corpus, text).orderBy(F.col("total").desc(), F.col("term")).limit(max_features)
+    """The ``max_features`` most frequent terms, equal counts in term order.
+
+    Words are counted first. A pair occurs no more often than its rarer word, so
+    once there are enough words, only pairs of words as frequent as the last of
+    them can belong; most pairs of a corpus are never made or shuffled. Where more
+    than four times as many words are tied with the last, all pairs are counted.
+    """
+    order = [F.col("total").desc(), F.col("term")]
+    worded = corpus.select(tokens.words(F.col(text)).alias("terms"))
+    shared_folder(corpus.sparkSession)
+    single = _counts(worded).checkpoint()
+    top = single.orderBy(*order).limit(max_features).select("term", "total", "df").toArrow()
+    among = None
+    if top.num_rows == max_features:
+        least = top.column("total")[-1].as_py()
+        frequent = single.where(F.col("total") >= least).select("term").limit(4 * max_features + 1).toArrow()
+        among = frequent.column("term").to_pylist() if frequent.num_rows <= 4 * max_features else None
+    if among is not None:
+        worded = worded.select(tokens.only("terms", among).alias("terms"))
+    made = F.filter(tokens.pairs(F.col("terms")), lambda p: p.isNotNull())
+    paired = _counts(worded.select(made.alias("terms")))
+    # Of the words only the best max_features, already here, can belong.
+    words = corpus.sparkSession.createDataFrame(top, "term string, total long, df long")
+    return words.unionByName(paired.select("term", "total", "df")).orderBy(*order).limit(max_features)
 
 
 @dataclass
