@@ -78,16 +78,18 @@ def host_verdicts(measured: DataFrame, host: str, max_rate: float = 0.5) -> Data
     return shrunk.select("host", "n_docs", "n_failed", "rate", (F.col("rate") > max_rate).alias("host_failed"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.5, salts: int = 64) -> DataFrame:
     """Measured ``docs`` (doc_id, the host column and the counts) with ``kept``.
 
     The measures are written once to the shared folder: they are read for the
-    hosts' rates and again for the verdicts. The join reads one row per host
-    that fails, which Spark broadcasts only if it turns out small, and splits a
-    large host's rows otherwise.
+    hosts' rates and again for the verdicts. A host's documents meet its verdict
+    in ``salts`` parts, to each of which the one row of a failing host is copied.
     """
     shared_folder(docs.sparkSession)
     measured = measure(docs.select("doc_id", F.col(host).alias("_host"), "text")).drop("text").checkpoint()
-    failing = host_verdicts(measured, "_host", max_rate).where("host_failed").select(F.col("host").alias("_host"), "host_failed")
-    joined = measured.join(failing, "_host", "left")
+    failing = host_verdicts(measured, "_host", max_rate).where("host_failed")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+    failing = failing.select(F.col("host").alias("_host"), "host_failed", every)
+    salted = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int"))
+    joined = salted.join(failing, ["_host", "_salt"], "left").drop("_salt")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_failed").isNull()).drop("host_failed").withColumnRenamed("_host", "host")
