@@ -25,7 +25,8 @@ from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
 from rankloom.plans import recommend as recommend_plan  # noqa: E402
 from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
-from rankloom.sources import export  # noqa: E402
+from rankloom.session import new_folder  # noqa: E402
+from rankloom.sources import export, tables  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
 
 # The stand-in encoder below travels to the tasks by value.
@@ -343,6 +344,61 @@ def lists_to_rows(spark, sf):
     return rows.select("doc_id", "item_id", "line", "n")
 
 
+# --- round trips of sources and sinks ---------------------------------------
+
+
+_CSV_SQL = f"""WITH {_DOCS_SQL} SELECT CASE WHEN item_id % 7 <> 0 THEN name END AS name, description, url FROM raw"""
+
+
+def _csv_round_trip(spark, sf, one_line):
+    raw = _raw_catalog(spark, sf).withColumn("name", F.when(F.col("item_id") % 7 == 0, F.lit("#N/A")).otherwise(F.col("name")))
+    path = new_folder(spark, "catalog")
+    tables.write_catalog(raw, path, one_line)
+    return tables.read_catalog(spark, path, one_line=one_line).select("name", "description", "url")
+
+
+@query(_CSV_SQL)
+def catalog_csv(spark, sf):
+    return _csv_round_trip(spark, sf, False)
+
+
+@query(_CSV_SQL)
+def catalog_csv_one_line(spark, sf):
+    return _csv_round_trip(spark, sf, True)
+
+
+@query("SELECT 'like ' || label AS query, 'https://x.test/L' || label || '/' || vec_id AS url FROM embeddings")
+def truth_csv(spark, sf):
+    items, path = _vector_items(spark, sf), new_folder(spark, "truth")
+    rows = items.select(F.concat(F.lit("like "), F.col("label").cast("string")).alias("Query"), F.col("url").alias("Assessment_url"))
+    rows.write.option("header", True).csv(path)
+    return tables.read_truth(spark, path)
+
+
+@query("SELECT vec_id AS item_id, 'Label' || label AS item_type, len(embedding) AS size, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings", ints=("size",))
+def vectors_round_trip(spark, sf):
+    path = new_folder(spark, "vectors")
+    tables.write_vectors(_vector_items(spark, sf), path)
+    rows = tables.read_vectors(spark, path)
+    return rows.select("item_id", "item_type", F.size("vector").alias("size"), F.col("vector")[0].cast("double").alias("first"))
+
+
+@query("""SELECT 'hash-64' AS model_name, max(len(embedding)) AS embedding_dimension, count(*) AS num_assessments,
+'catalog' AS input_file, 'vectors' AS embeddings_file, 'vectors' AS metadata_file FROM embeddings""", ints=("embedding_dimension", "num_assessments"))
+def run_config_json(spark, sf):
+    path = new_folder(spark, "config")
+    tables.write_run_config(run_config(spark, sf), path)
+    return tables.read_run_config(spark, path)
+
+
+@query("""SELECT page_id AS request_id, CASE WHEN page_id % 3 = 0 THEN 36 ELSE 2 END AS n FROM pages""", ints=("n",))
+def session_default(spark, sf):
+    """A third of the requests has no session and an eighth of these an empty one."""
+    given = F.when(F.col("page_id") % 24 == 0, F.lit("")).when(F.col("page_id") % 3 != 0, F.lit("s1"))
+    requests = _load(spark, sf, "pages").select("page_id", given.alias("session_id"))
+    return requests.select(F.col("page_id").alias("request_id"), F.length(tx.session_or_new(F.col("session_id"))).alias("n"))
+
+
 # --- TF-IDF -----------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -390,6 +446,20 @@ def tfidf_vocab(spark, sf):
     return index.frame(spark).select("term", "total", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"WITH {_fit_sql('documents', 'doc_id', 'text')} SELECT term, total, df, round(idf, 6) AS idf FROM vocab")
+def tfidf_saved(spark, sf):
+    """The vocabulary fitted once, saved and loaded."""
+    path = new_folder(spark, "vocabulary")
+    TfidfIndex.fit(_load(spark, sf, "documents").select("text"), "text").save(spark, path)
+    return TfidfIndex.load(spark, path).frame(spark).select("term", "total", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_LABELLED_SQL} SELECT doc_id, len(l) AS n_words FROM (SELECT doc_id, {_WORDS.format(text='description')} AS l FROM labelled)", ints=("n_words",))
+def tokenise_nulls(spark, sf):
+    terms = with_terms(_labelled(spark, sf).select("doc_id", "description"), "description")
+    return terms.select("doc_id", ((F.size("terms") + 1) / 2).cast("int").alias("n_words"))
+
+
 @query(f"WITH {_fit_sql('documents', 'doc_id', 'text')} SELECT key AS doc_id, term, round(w, 6) AS weight FROM dw")
 def tfidf_weights(spark, sf):
     docs = _load(spark, sf, "documents").select("doc_id", "text")
@@ -434,6 +504,16 @@ def type_filter_topk(spark, sf):
     return found.select("query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH {_ITEMS_SQL}
+SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+FROM pairs WHERE item_type NOT IN ('Label0', 'Label3', 'Label6', 'Label9') QUALIFY rank <= 5""", ints=("rank",))
+def untyped_left_out(spark, sf):
+    items = _vector_items(spark, sf)
+    some = items.withColumn("item_type", F.when(F.col("label") % 3 != 0, F.col("item_type")))
+    found = vectors.recommend_dense(some, _vector_queries(items).select("query_id", "vector"), 5, decimals=6)
+    return found.select("query_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH {_ITEMS_SQL}, cut AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS new_rank FROM ranked
   WHERE rank <= 20 AND rank <= 2 * k AND (coalesce(query_type, '') IN ('', 'ALL') OR lower(query_type) = lower(item_type)))
@@ -791,6 +871,73 @@ def recommend_batch(spark, sf):
     )
 
 
+_FLOW_SQL = f"""WITH {_DOCS_SQL}, {_clean_sql()}, {_fit_sql('cleaned', 'item_id', 'embedding_text')}, {_QUERY_SQL},
+dots AS (SELECT q.key AS query_id, d.key AS item_id, sum(q.w * d.w) AS s FROM qw q JOIN dw d USING (term) GROUP BY 1, 2),
+pool AS (SELECT b.item_id AS query_id, c.item_id, c.name, c.item_type, coalesce(s, 0) AS score,
+    row_number() OVER (PARTITION BY b.item_id ORDER BY round(coalesce(s, 0), 6) DESC, c.item_id) AS rank
+  FROM benchmark b CROSS JOIN cleaned c LEFT JOIN dots ON dots.query_id = b.item_id AND dots.item_id = c.item_id QUALIFY rank <= 20),
+reqs AS (SELECT item_id AS query_id, CAST(item_id % 5 + 1 AS INTEGER) AS k, CASE WHEN item_id % 2 = 0 THEN 'gENERAL' END AS t,
+    item_id % 7 = 3 AS failed, item_id % 3 <> 0 AND item_id % 7 <> 3 AS answered FROM benchmark),
+titles AS (SELECT query_id, CASE WHEN rank = 3 THEN 1 ELSE 2 END AS place, name AS title FROM pool WHERE rank IN (1, 3)),
+matched AS (SELECT t.query_id, t.place AS pos, min(p.rank) AS pool_rank FROM titles t JOIN reqs r USING (query_id) JOIN pool p USING (query_id)
+  WHERE r.answered AND (contains(lower(p.name), lower(t.title)) OR contains(lower(t.title), lower(p.name))) GROUP BY 1, 2),
+filled AS (SELECT query_id, pool_rank, pos FROM matched
+  UNION ALL
+  SELECT p.query_id, p.rank, (SELECT count(*) FROM matched m WHERE m.query_id = p.query_id) + row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank)
+  FROM pool p JOIN reqs r USING (query_id) WHERE NOT r.failed AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.query_id = p.query_id AND m.pool_rank = p.rank)),
+cut AS (SELECT f.query_id, f.pos, p.item_id, p.name, p.item_type, p.score, r.k, r.t, r.answered FROM filled f JOIN reqs r USING (query_id)
+  JOIN pool p ON p.query_id = f.query_id AND p.rank = f.pool_rank WHERE f.pos <= 2 * r.k),
+scored AS (SELECT *, CASE WHEN answered THEN round(least(greatest(first_value(score) OVER (PARTITION BY query_id ORDER BY pos), 0.3)
+    * (1.0 - 0.03 * (max(pos) OVER (PARTITION BY query_id, item_id) - 1)), 0.99), 4) ELSE score END AS final FROM cut),
+lexical AS (SELECT query_id, item_id, name, item_type, final AS score, 'rag' AS method,
+    row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank, k FROM scored WHERE t IS NULL OR lower(t) = lower(item_type)),
+vecs AS (SELECT item_id, name, item_type, [{_letters_sql('embedding_text')}] AS v FROM cleaned),
+asked AS (SELECT item_id AS query_id, [{_letters_sql('text')}] AS v FROM benchmark),
+dense AS (SELECT a.query_id, c.item_id, c.name, c.item_type, coalesce(nullif(list_cosine_similarity(a.v, c.v), 'nan'::DOUBLE), 0) AS score, 'semantic' AS method,
+    row_number() OVER (PARTITION BY a.query_id ORDER BY round(coalesce(nullif(list_cosine_similarity(a.v, c.v), 'nan'::DOUBLE), 0), 6) DESC, c.item_id) AS rank, r.k
+  FROM asked a JOIN reqs r ON r.query_id = a.query_id AND r.failed JOIN vecs c ON r.t IS NULL OR lower(r.t) = lower(c.item_type)),
+chosen AS (SELECT * FROM lexical WHERE rank <= k UNION ALL SELECT * FROM dense WHERE rank <= k)"""
+
+
+def _flow(spark, sf):
+    """Each benchmark text asks twice; the second is a repeat. Some requests fail, some have no answer of the model."""
+    index, items = catalog_plan.fit_catalog(clean.clean_catalog(_raw_catalog(spark, sf)))
+    asked = _load(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1_000_000))).alias("add"))
+    key = F.col("item_id")
+    requests = asked.select(
+        (key + F.col("add")).alias("request_id"), F.col("text").alias("query"), (key % 5 + 1).cast("int").alias("k"),
+        F.when(key % 2 == 0, F.lit("gENERAL")).alias("item_type"), F.lit("s").alias("session_id"), (key % 7 == 3).alias("failed"),
+    )
+    queries = requests.where(F.col("request_id") < 1_000_000).select(F.col("request_id").alias("query_id"), "query", "k", F.col("item_type").alias("query_type"))
+    pools = recommend_plan.pools_for(index, items, queries, 6)
+    name = lambda i: F.coalesce(F.get("pool", F.lit(i))["name"], F.lit(""))
+    responses = pools.where(F.col("query_id") % 3 != 0).select("query_id", F.concat(F.lit("1. "), name(2), F.lit("\n2. "), name(0)).alias("content"))
+    docs = catalog_plan.clean_catalog(_raw_catalog(spark, sf)).select("item_id", "name", "url", "item_type", "embedding_text")
+    dense = vectors.encode(docs, "embedding_text", _letter_encoder)
+    vector = vectors.encode(queries.select("query_id", "query"), "query", _letter_encoder).select("query_id", "vector")
+    return recommend_plan.answer(requests, index, items, responses, dense=(dense, vector), decimals=6)
+
+
+@query(f"""{_FLOW_SQL}, twice AS (SELECT query_id + a AS request_id, * FROM chosen, (VALUES (0), (1000000)) t(a))
+SELECT request_id, query_id, item_id, name, item_type, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank,
+  CASE WHEN rank = 1 THEN CASE WHEN a > 0 THEN 'cached' ELSE method END END AS method FROM twice""")
+def recommend_reranked(spark, sf):
+    """The whole flow: repeats, answers of the model, type wishes, failed requests with dense results."""
+    found = rank.tag_first(recommend_plan.results(_flow(spark, sf)))
+    return found.select("request_id", "query_id", "item_id", "name", "item_type", F.round("score", 4).alias("score"), "rank", "method")
+
+
+@query(f"""{_FLOW_SQL}, n AS (SELECT query_id, count(*) AS n FROM chosen GROUP BY query_id)
+SELECT query_id + a AS id, CAST(coalesce(n, 0) AS INTEGER) AS result_count, a > 0 AS cached,
+  CASE WHEN a > 0 THEN 'cached' WHEN failed THEN 'semantic' ELSE 'rag' END AS method
+FROM reqs LEFT JOIN n USING (query_id), (VALUES (0), (1000000)) t(a)""")
+def recommend_log(spark, sf):
+    """The log rows of the same flow."""
+    answers = _flow(spark, sf)
+    times = answers.select("request_id", F.lit(1.0).alias("query_time_ms"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    return recommend_plan.searches(answers, times).select("id", "result_count", "cached", "method")
+
+
 # --- search log -------------------------------------------------------------
 
 
@@ -983,6 +1130,19 @@ def page_name(spark, sf):
     return pages.catalog_rows(_load(spark, sf, "pages")).select("page_id", F.col("Assessment Name").alias("name"))
 
 
+_TITLE = _decode_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")
+
+
+@query(f"""SELECT page_id, coalesce(nullif(regexp_replace({_TITLE}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), ''), 'Unknown Assessment') AS name
+FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def page_titles(spark, sf):
+    """Pages without a heading are named by their title; those of badly labelled documents failed to load."""
+    headless = F.replace(F.replace("html", F.lit("<h1>"), F.lit("<h6>")), F.lit("</h1>"), F.lit("</h6>"))
+    bad = _load(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("bad"))
+    rows = _load(spark, sf, "pages").join(bad, "page_id", "left").withColumn("html", F.when(F.col("bad").isNull(), headless))
+    return pages.catalog_rows(rows).select("page_id", F.col("Assessment Name").alias("name"))
+
+
 @query(f"WITH {_PAGES_SQL} SELECT page_id, description FROM rows")
 def page_description(spark, sf):
     rows = pages.catalog_rows(_load(spark, sf, "pages"))

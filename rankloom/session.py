@@ -46,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """The name of a new folder in the shared one, deleted by :func:`drop_materialised`."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table that several jobs read into the shared folder and read it back.
 
@@ -53,8 +60,7 @@ def materialise(df: DataFrame) -> DataFrame:
     :func:`drop_materialised` deletes what a session has written so.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
