@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankloom.llm.batches import short
+
 _BYTES = np.arange(256)
 _KINDS = np.stack([
     (_BYTES >= 97) & (_BYTES <= 122),
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             rows = pa.array(list(_with_statistics(batch.column(1))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], ["doc_id", "x", "label"])
 
@@ -144,7 +146,7 @@ def score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             made = pa.array(forest.score(_with_statistics(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), made], schema.names)
 

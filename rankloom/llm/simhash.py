@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from rankloom.llm.batches import short
 from rankloom.session import shared_folder
 
 SEED = 42
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             made = pa.array([fingerprint(t) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "fp"])
 

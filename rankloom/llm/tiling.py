@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.llm.batches import short
+
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, mi
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, min_words)
-            for batch in batches:
+            for batch in short(batches):
                 made = defaultdict(list)
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for item_id, size, tiles in items.matches(text):
@@ -208,7 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.5, min_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, min_words)
-            for batch in batches:
+            for batch in short(batches):
                 kept = [
                     not any(sum(t[2] for t in tiles) >= min_coverage * size for _, size, tiles in items.matches(text))
                     for text in batch.column("text").to_pylist()

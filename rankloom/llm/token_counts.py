@@ -26,6 +26,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rankloom.llm.batches import short
+
 RESULTS = {
     "n_tokens": T.LongType(),
     "n_crossing": T.LongType(),
@@ -107,7 +109,7 @@ def attribute(docs: DataFrame, ranks, pattern: str, fields: list[str], sections:
         key = hash((ranks.value, pattern))
         counter = _COUNTERS.get(key) or _COUNTERS.setdefault(key, Counter(ranks.value, pattern))
         types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        for batch in batches:
+        for batch in short(batches):
             rows = [count(counter, list(v), sections) for v in zip(*(batch.column(f).to_pylist() for f in fields), strict=True)]
             made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], schema.names)
