@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rankloom.llm.batches import short
+
 # The pattern that cuts a text into pieces, and the printable bytes
 # that stand for themselves in the vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -63,7 +65,7 @@ class Decoder:
 class Codec(Decoder):
     """Encodes as well; it remembers up to ``remembered`` words and as many pairs of tokens."""
 
-    def __init__(self, definition: str, remembered: int = 400_000):
+    def __init__(self, definition: str, remembered: int = 300_000):
         spec = json.loads(definition)
         ids = self._read(spec)
         self.merge_rank, self.parts, self.rank = {}, {}, {}
@@ -260,13 +262,6 @@ def _codec(kind: type[Decoder], definition) -> Decoder:
     return _CODECS[key]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short batches, so that few values are Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     keep = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), column], [*keep, name])
@@ -279,7 +274,7 @@ def _schema(docs: DataFrame, **added) -> T.StructType:
 def _encoded(definition, text: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(Codec, definition)
-        for batch in _slices(batches):
+        for batch in short(batches):
             rows = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
             yield _replaced(batch, ids, pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(rows), np.int32))))
@@ -287,10 +282,10 @@ def _encoded(definition, text: str, ids: str):
     return run
 
 
-def _decoded(definition, ids: str, text: str):
+def _decoded(definition, ids: str, text: str, kind: type[Decoder] = Decoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(Decoder, definition)
-        for batch in _slices(batches):
+        codec = _codec(kind, definition)
+        for batch in short(batches):
             rows = [codec.decode(i or []) for i in batch.column(ids).to_pylist()]
             yield _replaced(batch, text, pa.array(rows, pa.string()))
 
@@ -312,3 +307,20 @@ def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids") ->
 def decode(encoded: DataFrame, vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text that ``ids`` stand for."""
     return encoded.mapInArrow(_decoded(vocabulary, ids, text), _schema(encoded, **{text: T.StringType()}))
+
+
+def round_trip(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the token ids of ``text`` and, instead of it, the text that they decode to.
+
+    Both steps run one after the other in the same task and worker, so ids don't
+    go to and fro between them.
+    """
+    schema = _schema(docs, **{ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()})
+    kept = T.StructType([f for f in schema if f.name != text or text == decoded])
+    there, back = _encoded(vocabulary, text, ids), _decoded(vocabulary, ids, decoded, Codec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in back(there(batches)):
+            yield batch.select(kept.names)
+
+    return docs.mapInArrow(run, kept)

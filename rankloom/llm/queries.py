@@ -73,8 +73,7 @@ def op5_quality_trees(spark, sf):
 @query
 def op6_bpe_round_trip(spark, sf):
     vocabulary = bpe.share_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    both = bpe.decode(encoded, vocabulary)
+    both = bpe.round_trip(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

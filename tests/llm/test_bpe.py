@@ -54,4 +54,7 @@ def test_frames(spark, docs):
     assert both.columns == [*(c for c in frame.columns if c not in ("ids", "decoded")), "ids", "decoded"]
     for r in both.collect():
         assert r.decoded == (r.text or "") and len(r.ids or []) > 0 or not r.text
+    fused = bpe.round_trip(frame, vocabulary)
+    assert fused.columns == [c for c in both.columns if c != "text"]
+    assert sorted(map(repr, fused.collect())) == sorted(map(repr, both.drop("text").collect()))
     assert bpe.decode(bpe.encode(frame.where("false"), vocabulary), vocabulary).count() == 0
