@@ -50,10 +50,6 @@ def keep_first(df: DataFrame, key: str | Sequence[str], order: str) -> DataFrame
     return top_rows(df, keys, [F.col(order).asc()], 1, rank="_first").drop("_first")
 
 
-def typed_only(items: DataFrame, item_type: str = "item_type") -> DataFrame:
-    return items.where(F.col(item_type).isNotNull())
-
-
 def filter_type(results: DataFrame, wanted: Column, item_type: str = "item_type") -> DataFrame:
     """Rows of the wanted type, case ignored; null, empty or ``all`` keeps every row."""
     return results.where(no_type_filter(wanted) | (F.lower(F.col(item_type)) == F.lower(wanted)))

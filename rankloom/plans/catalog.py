@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rankloom.operators.clean import clean_catalog
 from rankloom.operators.pages import catalog_rows
 from rankloom.operators.tfidf import MAX_FEATURES, TfidfIndex
-from rankloom.operators.vectors import encode
 from rankloom.schemas import DESCRIPTION, NAME, URL
 from rankloom.session import materialise
 
@@ -34,9 +33,3 @@ def fit_catalog(catalog: DataFrame, max_features: int = MAX_FEATURES) -> tuple[T
     index = TfidfIndex.fit(catalog, "embedding_text", max_features)
     items = index.transform(catalog, "embedding_text")
     return index, items.select("item_id", "name", "url", "item_type", "indices", "weights")
-
-
-def dense_items(catalog: DataFrame, load_encoder) -> DataFrame:
-    """Each item with its dense vector beside its metadata."""
-    return encode(catalog.select("item_id", "name", "description", "url", "item_type", "embedding_text"),
-                  "embedding_text", load_encoder)
