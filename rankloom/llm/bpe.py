@@ -4,8 +4,7 @@ Of every prefix of a piece of text, BPE's result ends in one certain token. A
 suffix automaton over the vocabulary (Aho-Corasick) lists the tokens that end at
 each position; the one whose predecessor, the stored last token of the rest,
 cannot merge with it is stored for the prefix. Following these pointers back
-gives exactly the ids that merging by rank gives, in time linear in the text. As
-the result belongs to the prefix alone, words with a common beginning share it.
+gives exactly the ids that merging by rank gives, in time linear in the text.
 
 Two tokens side by side stay apart if no merge joins the right edge of the first
 with the left edge of the second while both of its parts exist. That test, and
@@ -25,6 +24,7 @@ import json
 from collections.abc import Iterator
 from struct import pack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -65,7 +65,7 @@ class Decoder:
 class Codec(Decoder):
     """Encodes as well; it remembers up to ``remembered`` words and as many pairs of tokens."""
 
-    def __init__(self, definition: str, remembered: int = 300_000):
+    def __init__(self, definition: str, remembered: int = 500_000):
         spec = json.loads(definition)
         ids = self._read(spec)
         self.merge_rank, self.parts, self.rank = {}, {}, {}
@@ -78,50 +78,12 @@ class Codec(Decoder):
         self.pieces = regex.compile(PIECES)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.apart, self.words, self.earlier, self.remembered = {}, {}, {}, remembered
-        self._suffix_automaton([i for i in ids.values() if i not in self.parts or self._stays(*self.parts[i], self.rank[i])])
-        self._forget()
-
-    def _suffix_automaton(self, tokens: list[int]) -> None:
-        """``ends[state]``: the (token, length) of all tokens that end where the state is reached, longest first.
-
-        States are the beginnings of tokens; ``step`` goes on by a byte, ``back``
-        to the longest other state that the bytes read end with.
-        """
-        self.step, self.back, self.ends, text_of = {}, [0], [()], [b""]
-        for token in tokens:
-            state = 0
-            for byte in self.bytes_of[token]:
-                key = state << 8 | byte
-                if key not in self.step:
-                    self.step[key] = len(self.back)
-                    self.back.append(0)
-                    self.ends.append(())
-                    text_of.append(text_of[state] + bytes([byte]))
-                state = self.step[key]
-            self.ends[state] = ((token, len(self.bytes_of[token])),)
-        for state in sorted(range(1, len(self.back)), key=lambda s: len(text_of[s])):
-            text = text_of[state]
-            if len(text) > 1:
-                self.back[state] = self._next(self.back[self._next_known(text[:-1])], text[-1])
-            self.ends[state] += self.ends[self.back[state]]
-
-    def _next_known(self, text: bytes) -> int:
-        state = 0
-        for byte in text:
-            state = self.step[state << 8 | byte]
-        return state
-
-    def _next(self, state: int, byte: int) -> int:
-        step = self.step
-        while (after := step.get(state << 8 | byte)) is None:
-            if not state:
-                return 0
-            state = self.back[state]
-        return after
-
-    def _forget(self) -> None:
-        """Start anew with the tree of prefixes: by prefix its automaton state, last token and that token's length."""
-        self.longer, self.state, self.last, self.size = {}, [0], [-1], [0]
+        # The tokens by their bytes, written as characters below 256.
+        self.automaton = ahocorasick.Automaton()
+        for i in ids.values():
+            if i not in self.parts or self._stays(*self.parts[i], self.rank[i]):
+                self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
+        self.automaton.make_automaton()
 
     def _stays(self, first: int, second: int, until: float = float("inf")) -> bool:
         """No merge of a lower rank than ``until`` joins the two tokens' parts.
@@ -146,50 +108,30 @@ class Codec(Decoder):
             first, gone = self.parts[first][1], self.rank[first]
 
     def _piece(self, data: bytes) -> list[int]:
-        """Ids of one piece.
-
-        What is found for a prefix holds in every piece that begins with it, so
-        prefixes are kept in a tree and only new ones are worked out.
-        """
-        if len(self.last) > self.remembered or len(data) > 64:
-            self._forget()
-        longer, node, path, at = self.longer, 0, [0], 0
-        for byte in data:
-            after = longer.get(node << 8 | byte)
-            at += 1
-            node = self._grow(node, byte, path, at) if after is None else after
-            path.append(node)
-        out, last, size = [], self.last, self.size
-        while at:
-            node = path[at]
-            out.append(last[node])
-            at -= size[node]
-        if len(data) > 64:
-            self._forget()
+        """Ids of one piece."""
+        last, before, apart = [-1] * (len(data) + 1), [0] * (len(data) + 1), self.apart
+        done = 0  # the prefix that has its last token; positions come in order
+        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
+            end += 1
+            if done == end:
+                continue
+            start = end - length
+            if start:
+                pair = last[start] << 20 | token
+                stays = apart.get(pair)
+                if stays is None:
+                    if len(apart) >= self.remembered:
+                        apart.clear()
+                    stays = apart[pair] = self._stays(last[start], token)
+                if not stays:
+                    continue
+            last[end], before[end], done = token, start, end
+        out, end = [], len(data)
+        while end:
+            out.append(last[end])
+            end = before[end]
         return out[::-1]
 
-    def _grow(self, node: int, byte: int, path: list[int], at: int) -> int:
-        """The prefix of ``at`` bytes: its last token is that whose predecessor stays apart from it."""
-        state = self._next(self.state[node], byte)
-        for token, length in self.ends[state]:
-            if length == at:
-                break
-            pair = self.last[path[at - length]] << 20 | token
-            stays = self.apart.get(pair)
-            if stays is None:
-                if len(self.apart) >= self.remembered:
-                    self.apart.clear()
-                stays = self.apart[pair] = self._stays(pair >> 20, token)
-            if stays:
-                break
-        else:
-            raise ValueError(f"no token ends at byte {at}")
-        new = self.longer[node << 8 | byte] = len(self.last)
-        self.state.append(state)
-        self.last.append(token)
-        self.size.append(length)
-        return new
-
     def _ids(self, text: str) -> list[int]:
         out = []
         for piece in self.pieces.findall(text):
