@@ -65,7 +65,7 @@ class Decoder:
 class Codec(Decoder):
     """Encodes as well; it remembers up to ``remembered`` words and as many pairs of tokens."""
 
-    def __init__(self, definition: str, remembered: int = 500_000):
+    def __init__(self, definition: str, remembered: int = 250_000):
         spec = json.loads(definition)
         ids = self._read(spec)
         self.merge_rank, self.parts, self.rank = {}, {}, {}
