@@ -108,3 +108,21 @@ def test_query_equals_sql(spark, name):
 
 def test_one_query_for_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_near_duplicates_of_0_8(spark):
+    """The near-duplicate stage against all pairs of texts, by sets of five-word shingles."""
+    docs = sorted(rows_of("documents"), key=lambda d: d["doc_id"])
+    sets = []
+    for d in docs:
+        words = (d["text"] or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(docs)))
+    for b in range(len(docs)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if parent[a] != parent[b] and (sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
+                parent = [new if p == old else p for p in parent]
+    found = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted((docs[p]["doc_id"], docs[p]["text"]) for p in set(parent))
