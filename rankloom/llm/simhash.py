@@ -369,8 +369,11 @@ def near_copies(docs: DataFrame, block_limit: int = 512) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of near copies: that of the smallest doc_id, and of rows that share it any one."""
-    found = near_copies(docs)
-    named = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    firsts = found.join(named, "root").where("doc_id <=> component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of near copies: that of the smallest doc_id, of those any one text.
+
+    The row is named by id and text, so unlike texts without an id, or under one id, all stay.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    firsts = near_copies(docs).groupBy("root").agg(least.alias("one")).select("root", F.col("one.row").alias("row"))
+    rows = docs.select(F.struct("*").alias("doc"), _row())
+    return rows.join(firsts, "row").dropDuplicates(["root"]).select("doc.*")

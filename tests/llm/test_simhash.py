@@ -122,3 +122,10 @@ def test_near_copies_are_linked_at_a_jaccard_of_0_8(spark, docs, limit):
         parent = [rb if p == ra else p for p in parent]
     got = {r.doc_id: r.root for r in simhash.near_copies(docs(list(enumerate(texts))), limit).collect()}
     assert sorted((a, b) for a in got for b in got if got[a] == got[b]) == [(a, b) for a in range(len(texts)) for b in range(len(texts)) if parent[a] == parent[b]]
+
+
+def test_unlike_texts_without_an_id_or_under_one_id_all_stay(docs):
+    one, two, three, four = (" ".join(words(k, 60)) for k in range(4))
+    frame = docs([(None, one), (None, two), (None, two), (None, three), (7, three), (8, one + " end"), (8, four), (3, four), (7, None), (9, " ")])
+    want = [(3, four), (7, None), (7, three), (8, one + " end"), (None, two)]
+    assert sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame).collect()), key=repr) == sorted(want, key=repr)
