@@ -16,7 +16,8 @@ shows as two anchors of the same gram.
    put in suffix order, the lengths of common prefixes are scanned with a stack,
    and each interval of suffixes is divided by what stands to the left, scanned in
    the same way. Intervals that can be extended to neither side are the maximal
-   repeats, given with all their occurrences.
+   repeats of these surroundings; what they cover is given, not a list of all
+   occurrences in documents.
 4. A text loses the union of its occurrences of at least ``length`` bytes.
 
 A gram with more than ``group_limit`` kinds of surroundings is not taken into one
@@ -246,9 +247,10 @@ def repeats(surroundings: DataFrame, length: int, groups: bool = False) -> DataF
     """Maximal repeats by gram: what of each anchor's text they cover, (key, begin, end).
 
     All repeats around an anchor hold it, so together they cover one span, and
-    an anchor makes one row at most. With ``groups`` every occurrence of every
-    repeat is given: (key, begin, end, gram, number), where gram and number name
-    the repeat.
+    an anchor makes one row at most. With ``groups`` every occurrence among
+    ``surroundings`` is given: (key, begin, end, gram, number), where gram and
+    number name the repeat. These are not all occurrences in documents: equal
+    surroundings are there once, and repeats end where they do.
     """
 
     def of_gram(members: list[tuple[int, int, bytes]], gram: int) -> list[tuple]:
