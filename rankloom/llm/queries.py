@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, host_rules, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
+from rankloom.llm import bpe, chat, fill_middle, host_rules, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,31 @@ def op10_url_rules(spark, sf):
     labelled = pages.join(labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad")), "page_id")
     judged = url_rules.judge(pages, URL_RULES, url_rules.mine_rules(labelled.select("url", "bad")))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op11_fill_middle(spark, sf):
+    made = fill_middle.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", F.col("units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op11_fill_middle"] = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+k AS (
+  SELECT *, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(s, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(s, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, substr(t, 1, least(c1, c2)) AS pre, substr(t, 1 + least(c1, c2), abs(c1 - c2)) AS mid, substr(t, 1 + greatest(c1, c2)) AS suf FROM k
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN abs(c1 - c2) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""

@@ -107,7 +107,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_for_every_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_near_duplicates_of_0_8(spark):
