@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, fill_middle, host_rules, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
+from rankloom.llm import bpe, chat, fill_middle, host_rules, periodic, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +179,26 @@ SELECT doc_id, n, form,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+def with_planted_runs(docs):
+    """Every tenth document, by the hash of its id, repeats a stretch of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    found = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    placed = found.withColumn("a", F.expr("if(n > 0, int(g % n), null)")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    repeated = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p)))), 1, n - a)")
+    made = F.array_join(F.concat(F.slice("words", 1, F.col("a")), repeated), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    made = periodic.find_runs(with_planted_runs(table(spark, sf, "documents")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return made.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
