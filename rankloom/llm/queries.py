@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chat, fill_middle, host_rules, periodic, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
+from rankloom.llm import bpe, chat, fill_middle, host_rules, mixing, periodic, quality_trees, repeats, simhash, tiling, token_counts, url_rules, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,9 @@ def op12_periodic_runs(spark, sf):
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_source_mix(spark, sf):
+    mixed = mixing.mix(mixing.with_size(table(spark, sf, "documents").select("doc_id", "source", "text")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
