@@ -158,6 +158,7 @@ def _level(rows: DataFrame, level: int, keep: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, random = None, [], None
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays(batch.columns, names)  # as the open rows come back
             keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             begin = 0
             while begin < len(keys):
