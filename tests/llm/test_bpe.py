@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import bpe
@@ -13,7 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def pair():
     with open(PATH, encoding="utf-8") as file:
-        return bpe.Codec(file.read(), remembered=300), Tokenizer.from_file(PATH)
+        return bpe.Codec(file.read(), remembered=30_000), Tokenizer.from_file(PATH)
 
 
 def cases():
@@ -36,7 +38,49 @@ def test_equals_the_library(pair):
 
 def test_memory_is_bounded(pair):
     codec, _ = pair
-    assert len(codec.words) + len(codec.earlier) <= 300 and len(codec.apart) <= 300
+    entries = codec.words | codec.earlier
+    assert entries and sum(bpe.ENTRY_BYTES + len(k) + len(v) for k, v in entries.items()) <= 30_000
+    assert max(map(len, entries)) <= bpe.LONG_WORD and len(codec.pairs.asked) == 1 << bpe.TABLE_BITS
+
+
+def test_texts_together_are_as_each_alone(pair):
+    codec, library = pair
+    texts = [*cases()][::3] + ["x" * 500 + " " + "中" * 400, "base64" * 3000, "a" * 199, "a" * 200, "a" * 201]
+    for text, ids in zip(texts, codec.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def stays(pairs, first, second):
+    """The test on one pair, by its definition."""
+    rank = dict(zip(pairs.keys[:-1].tolist(), pairs.ranks[:-1].tolist(), strict=True))
+
+    def edge(token, below):
+        gone = bpe.NEVER
+        while token >= 0:
+            yield token, gone
+            token, gone = int(below[token]), int(pairs.gone[token])
+
+    for a, a_gone in edge(first, pairs.right):
+        for b, b_gone in edge(second, pairs.left):
+            if (r := rank.get(a << 32 | b, bpe.NEVER)) < a_gone and r < bpe.NEVER and r <= b_gone:
+                return False
+    return True
+
+
+def test_pairs_on_arrays_are_as_one_by_one(pair, monkeypatch):
+    codec, _ = pair
+    rng = np.random.default_rng(2)
+    first, second = rng.integers(0, 50_000, (2, 300))
+    want = [stays(codec.pairs, int(a), int(b)) for a, b in zip(first, second, strict=True)]
+    first, second, want = np.tile(first, 9), np.tile(second, 9), want * 9
+    small = bpe.Pairs(np.empty((0, 3), np.int64), 1)
+    vars(small).update(vars(codec.pairs))
+    monkeypatch.setattr(bpe, "TABLE_BITS", 6)  # most answers are displaced
+    small.asked, small.answers = np.full(64, -1, np.int64), np.zeros(64, bool)
+    for _ in range(3):
+        assert small.apart(first, second).tolist() == want
+    monkeypatch.undo()
+    assert codec.pairs.apart(first, second).tolist() == want
 
 
 def test_ids_that_cut_characters_decode_as_in_the_library(pair):
@@ -45,6 +89,10 @@ def test_ids_that_cut_characters_decode_as_in_the_library(pair):
     for _ in range(300):
         ids = [rng.choice([rng.randint(0, 255), rng.randint(0, 50256)]) for _ in range(6)]
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    lists = [[], None, [50256, 0], [rng.randint(0, 255) for _ in range(9)], [1, 2, 3]]
+    for part in (lists, lists[2:], [[262, 640]], []):
+        got = codec.decode_all(pa.array([[7], *part], pa.list_(pa.int32())).slice(1)).to_pylist()
+        assert got == [codec.decode(x or []) for x in part]
 
 
 def test_frames(spark, docs):
@@ -57,4 +105,6 @@ def test_frames(spark, docs):
     fused = bpe.round_trip(frame, vocabulary)
     assert fused.columns == [c for c in both.columns if c != "text"]
     assert sorted(map(repr, fused.collect())) == sorted(map(repr, both.drop("text").collect()))
+    listed = bpe.round_trip(frame.withColumn("n_tokens", F.lit("x")), vocabulary, as_text=True).collect()
+    assert sorted((r.ids, r.n_tokens) for r in listed) == sorted((",".join(map(str, r.ids)), len(r.ids)) for r in fused.collect())
     assert bpe.decode(bpe.encode(frame.where("false"), vocabulary), vocabulary).count() == 0
