@@ -19,12 +19,6 @@ own, so each pair still meets and no task takes a whole cell. Classes are found
 by alternating large-star and small-star steps, each written to the shared
 folder.
 
-Near copies are another matter (``near_copies``, ``keep_one``): texts link if the
-sets of their five-word shingles have a Jaccard similarity of at least 0.8, which
-is checked exactly. Such pairs may differ in 15 bits and more, too many for the
-grid, so their cells are 32 bands of four minima each, with a fingerprint radius
-of 22 bits.
-
 Defined results: a null or blank text has no words and the fingerprint zero,
 which links like any other. Repeated rows have equal results. A class is named
 by its smallest doc_id; nulls count as ids only where there is no other. An
@@ -45,10 +39,6 @@ from rankloom.llm.batches import short
 from rankloom.session import shared_folder
 
 SEED = 42
-# The settings of near copies: a pair at a similarity of 0.8 shares no band once in
-# (1 - 0.8**4)**-32, or 20 million, times; their fingerprints differ in ten bits of 64 on average.
-STAGE_WORDS, BANDS, ROWS, RADIUS = 5, 32, 4, 22
-_TURNS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Of each byte, its bits as eight lanes of one byte.
 _LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -148,11 +138,7 @@ def links(fps: DataFrame, bits: int = 4, cell_limit: int = 4096) -> DataFrame:
     """Distinct (a, b) of fingerprints at most ``bits`` apart that connect all classes; ``fps`` are distinct."""
     if not 0 <= bits <= 5:
         raise ValueError("two halves and one step each serve up to five differing bits")
-    return links_in_cells(entries(fps), bits, cell_limit)
-
-
-def links_in_cells(entered: DataFrame, bits: int, cell_limit: int = 4096) -> DataFrame:
-    """Distinct (a, b) of fingerprints at most ``bits`` apart that connect what is linked inside the cells (cell, fp)."""
+    entered = entries(fps)
     large = entered.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).checkpoint()
     if large.isEmpty():
         grouped = entered.withColumn("pair", F.lit(0))
@@ -247,133 +233,27 @@ def classes(docs: DataFrame, bits: int = 4, cell_limit: int = 4096, text: str =
     return known.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """One number per band of minima of a set of shingle hashes, distinct by band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        for k in range(0, len(least), ROWS):
-            least[k : k + ROWS] = np.minimum(least[k : k + ROWS], (part * _TURNS[k : k + ROWS, None]).min(axis=1))
-    rows = np.concatenate([np.arange(BANDS, dtype=np.uint64)[:, None], least.reshape(BANDS, ROWS)], axis=1)
-    return np.array([xxh64_intdigest(r.tobytes(), SEED) for r in rows], np.uint64)
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, fp, cells) of every row: a hash of id and text, of the set of shingles, its SimHash, its bands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
-            nodes, fps, cells = [], [], []
-            for text in batch.column(2).to_pylist():
-                hashes = shingles(text, STAGE_WORDS)
-                distinct = np.unique(hashes)
-                nodes.append(xxh64_intdigest(distinct.tobytes(), SEED))
-                fps.append(folded(hashes) if len(hashes) else 0)
-                cells.append(bands_of(distinct).view(np.int64) if len(hashes) else np.empty(0, np.int64))
-            made = pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "row", "node", "fp", "cells"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(), "text")
-    return chosen.mapInArrow(run, "doc_id long, row long, node long, fp long, cells array<long>")
-
-
-def _row():
-    return F.xxhash64("doc_id", "text").alias("row")
-
-
-def alike(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of sets with a Jaccard similarity of at least 0.8, as two index arrays."""
-    sizes = np.array([len(x) for x in sets])
-    begins = np.cumsum(sizes) - sizes
-    known, place = np.unique(np.concatenate(sets), return_inverse=True)
-    left, right, open_ = [], [], np.ones(len(sets), bool)
-    for root in range(len(sets)):
-        reached = [root] if open_[root] else []
-        open_[root] = False
-        while reached:
-            node = reached.pop()
-            rest = np.flatnonzero(open_ & (5 * sizes >= 4 * sizes[node]) & (4 * sizes <= 5 * sizes[node]))
-            if not len(rest):
-                continue
-            holds = np.zeros(len(known), bool)
-            holds[place[begins[node] : begins[node] + sizes[node]]] = True
-            if 2 * len(rest) < len(sets):
-                both = np.array([np.count_nonzero(holds[place[begins[k] : begins[k] + sizes[k]]]) for k in rest.tolist()])
-            else:
-                both = np.add.reduceat(holds[place], begins, dtype=np.int64)[rest]
-            near = rest[5 * both >= 4 * (sizes[rest] + sizes[node] - both)]
-            open_[near] = False
-            left += [node] * len(near)
-            right += near.tolist()
-            reached += near.tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def alike_links(docs: DataFrame, different: DataFrame, block_limit: int = 512) -> DataFrame:
-    """(a, b) of nodes with a Jaccard similarity of at least 0.8 that connect all classes.
+def keep_one(docs: DataFrame, bits: int = 4, cell_limit: int = 4096) -> DataFrame:
+    """One document of each class of fingerprints: that of the smallest doc_id, of those any one text.
 
-    ``different`` has one row per node: (node, row, fp, cells). Candidates share a
-    band and a radius of fingerprints; what candidates connect is compared exactly,
-    all with all. Groups of more nodes than ``block_limit`` are compared by pairs of blocks.
+    Rows are named by two hashes of id and text, 128 bits together, so unlike texts
+    without an id, or under one id, are told apart. Of copies only the first of each
+    fingerprint goes on, found map-side; texts are shuffled once, at the end.
     """
-    roots = components(links_in_cells(different.select(F.explode("cells").alias("cell"), "fp"), RADIUS))
-    rooted = different.select("node", "row", "fp").join(roots, different.fp == roots.node, "left").select(
-        different.node, "row", F.coalesce("root", "fp").alias("group")
-    )
-    many = rooted.groupBy("group").agg(F.ceil(F.count("*") / block_limit).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    members = rooted.join(many, "group").select("row", "node", "group", "blocks").checkpoint()
-    texts = docs.select(_row(), "text").join(members, "row").dropDuplicates(["node"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
-            made = [np.unique(shingles(t, STAGE_WORDS)).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.binary())], ["group", "blocks", "node", "hashes"])
-
-    made = texts.select("group", "blocks", "node", "text").mapInArrow(sets, "group long, blocks int, node long, hashes binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = made.withColumn("block", block).select("group", "node", "hashes", "blocks", "block", other.alias("other")).select(
-        "group", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), "node", "hashes"
-    )
-    met = paired.repartition("group", "pair").sortWithinPartitions("group", "pair")
-
-    def compare(members: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        nodes = np.array([m[0] for m in members], np.int64)
-        # An empty set is like no other.
-        a, b = alike([np.frombuffer(m[1] or bytes(8), "<u8") for m in members])
-        return pa.RecordBatch.from_arrays([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], ["a", "b"])
+    shared_folder(docs.sparkSession)
+    row = [F.xxhash64(F.lit(k), "doc_id", "text").alias(f"row_{k}") for k in (1, 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
         for batch in short(batches):
-            for group, pair, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (group, pair) != at:
-                    if len(held) > 1:
-                        yield compare(held)
-                    at, held = (group, pair), []
-                held.append((node, hashes))
-        if len(held) > 1:
-            yield compare(held)
-
-    return met.mapInArrow(run, "a long, b long")
+            made = pa.array([fingerprint(t) for t in batch.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], ["doc_id", "row_1", "row_2", "fp"])
 
-
-def near_copies(docs: DataFrame, block_limit: int = 512) -> DataFrame:
-    """(doc_id, row, root) of every row of ``docs``: texts whose sets of five-word shingles are alike to 0.8 share a root."""
-    shared_folder(docs.sparkSession)
-    known = signatures(docs).checkpoint()
-    different = known.groupBy("node").agg(F.min(F.struct("row", "fp", "cells")).alias("one")).select("node", "one.*").checkpoint()
-    roots = components(alike_links(docs, different, block_limit))
-    rooted = known.select("doc_id", "row", "node").join(roots, "node", "left")
-    return rooted.select("doc_id", "row", F.coalesce("root", "node").alias("root"))
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of near copies: that of the smallest doc_id, of those any one text.
-
-    The row is named by id and text, so unlike texts without an id, or under one id, all stay.
-    """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    firsts = near_copies(docs).groupBy("root").agg(least.alias("one")).select("root", F.col("one.row").alias("row"))
-    rows = docs.select(F.struct("*").alias("doc"), _row())
-    return rows.join(firsts, "row").dropDuplicates(["root"]).select("doc.*")
+    named = docs.select(F.col("doc_id").cast("long"), *row, "text").mapInArrow(run, "doc_id long, row_1 long, row_2 long, fp long")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_1", "row_2")
+    different = named.groupBy("fp").agg(F.min(first).alias("one")).checkpoint()
+    roots = components(links(different.select("fp"), bits, cell_limit))
+    rooted = different.join(roots, different.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "one")
+    kept = rooted.groupBy("root").agg(F.min("one").alias("one")).select("one.row_1", "one.row_2")
+    # Rows of one name are equal in id and text; they meet by name, so dropping repeats moves nothing again.
+    rows = docs.select(F.struct("*").alias("doc"), *row)
+    return rows.join(kept, ["row_1", "row_2"]).dropDuplicates(["row_1", "row_2"]).select("doc.*")

@@ -33,14 +33,7 @@ def test_pipeline(spark):
     docs = rows_of("documents")
     scores = forest.score(quality_trees.statistics([(d["text"] or "").encode() for d in docs]))
     docs = [d for d, s in zip(docs, scores) if s >= 0.3]
-    fps = np.array([brute_fingerprint(d["text"]) for d in docs], np.uint64)
-    classes, different = {}, np.unique(fps)
-    for fp, root in zip(different.tolist(), roots(different, 4)):
-        classes[fp] = root
-    first = {}
-    for d, fp in sorted(zip(docs, fps.tolist()), key=lambda x: x[0]["doc_id"]):
-        first.setdefault(classes[fp], d)
-    docs = sorted(first.values(), key=lambda d: d["doc_id"])
+    docs = one_of_each_class(docs)
     for d, (_, _, _, kept) in zip(docs, brute([d["text"] for d in docs], 200)):
         d["text"] = kept.decode("utf-8", "ignore")
     items = [b["text"] for b in rows_of("benchmark")]
@@ -110,19 +103,19 @@ def test_one_query_for_every_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
-def test_near_duplicates_of_0_8(spark):
-    """The near-duplicate stage against all pairs of texts, by sets of five-word shingles."""
-    docs = sorted(rows_of("documents"), key=lambda d: d["doc_id"])
-    sets = []
-    for d in docs:
-        words = (d["text"] or "").encode().lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    parent = list(range(len(docs)))
-    for b in range(len(docs)):
-        for a in range(b):
-            both = len(sets[a] & sets[b])
-            if parent[a] != parent[b] and (sets[a] == sets[b] or 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
-                old, new = max(parent[a], parent[b]), min(parent[a], parent[b])
-                parent = [new if p == old else p for p in parent]
+def one_of_each_class(docs):
+    """The document of the smallest id of each class of fingerprints at most four bits apart, by all pairs."""
+    fps = np.array([brute_fingerprint(d["text"]) for d in docs], np.uint64)
+    different = np.unique(fps)
+    classes = dict(zip(different.tolist(), roots(different, 4), strict=True))
+    first = {}
+    for d, fp in sorted(zip(docs, fps.tolist(), strict=True), key=lambda x: x[0]["doc_id"]):
+        first.setdefault(classes[fp], d)
+    return sorted(first.values(), key=lambda d: d["doc_id"])
+
+
+def test_near_duplicates_stage(spark):
+    """The stage keeps what all pairs of fingerprints say, with the texts of the documents it keeps."""
+    want = [(d["doc_id"], d["text"]) for d in one_of_each_class(rows_of("documents"))]
     found = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()
-    assert sorted((r.doc_id, r.text) for r in found) == sorted((docs[p]["doc_id"], docs[p]["text"]) for p in set(parent))
+    assert sorted((r.doc_id, r.text) for r in found) == want
