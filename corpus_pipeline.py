@@ -6,14 +6,12 @@ the columns of ``documents``; the last returns the token ids of what is left.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, quality_trees, repeats, simhash, tiling
-from rankloom.session import shared_folder
+from rankloom.session import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts alike to 0.8 in five-word shingles: that with the smallest doc_id."""
+    """One document of each class of fingerprints at most four bits apart: that with the smallest doc_id."""
     return simhash.keep_one(docs).select(*COLUMNS)
 
 
@@ -72,9 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written to the shared folder and read again."""
+    """All stages over ``documents``, each but the last written to the shared folder and read again.
+
+    ``session.drop_materialised`` deletes what was written.
+    """
     docs = _table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
