@@ -20,6 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from rankloom.functions import text as tx  # noqa: E402
 from rankloom.functions.tokens import with_terms  # noqa: E402
 from rankloom.operators import clean, evaluate, pages, rank, rerank, searchlog, vectors  # noqa: E402
+from rankloom.operators import l2_index as l2  # noqa: E402
 from rankloom.operators.tfidf import TfidfIndex, retrieve  # noqa: E402
 from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
@@ -586,6 +587,29 @@ def l2_knn_small(spark, sf):
     return _scaled_knn(spark, sf, 1e-5)
 
 
+def _indexed_knn(spark, sf, factor):
+    """The nearest five from an index that is built, stored and loaded."""
+    items = _vector_items(spark, sf).withColumn("vector", F.transform("vector", lambda x: x.cast("double") * F.lit(factor)))
+    path = new_folder(spark, "index")
+    l2.build(items.select("item_id", "vector"), path)
+    asked = _vector_queries(items).select("query_id", "vector")
+    found = l2.L2Index.load(spark, path).search(asked, 5, decimals=6 if factor == 1.0 else None)
+    return found.select("query_id", "item_id", F.round(F.col("distance") / factor / factor, 6).alias("distance"), "rank")
+
+
+@query(f"""WITH {_ITEMS_SQL}, d AS (SELECT a.query_id, i.item_id,
+    round(list_sum(list_transform(list_zip(a.v, i.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM asks a, items i)
+SELECT query_id, item_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rank
+FROM d QUALIFY rank <= 5""", ints=("rank",))
+def l2_index_knn(spark, sf):
+    return _indexed_knn(spark, sf, 1.0)
+
+
+@query(_SCALED_SQL, ints=("rank",))
+def l2_index_knn_large(spark, sf):
+    return _indexed_knn(spark, sf, 1e7)
+
+
 @query(f"WITH {_ITEMS_SQL} SELECT query_id, item_id, name, score, rank FROM ranked WHERE rank <= 10", ints=("rank",))
 def dense_topk_blocks(spark, sf):
     """The same search with the queries in several blocks, as a table beyond one block's bounds has."""

@@ -2,8 +2,10 @@
 
 Items are streamed as Arrow batches past a block of queries; each task keeps
 only the best ``k`` rows per query, so no (query, item) pair leaves a task
-unless it may still win. Queries are cut into blocks of bounded bytes; each is
-broadcast, and the items are scanned once per block where they lie.
+unless it may still win. Queries within one block's bounds are broadcast, and the
+items are scanned where they lie. More are cut into blocks by hash, the items
+into slices, and blocks and slices meet in tasks by a shuffle; of such queries
+nothing but their number and size reaches the driver.
 
 Vectors are either a dense ``vector`` array or sparse ``indices`` / ``weights``
 arrays. Ranking uses the score to twelve significant digits, or to a fixed
@@ -310,6 +312,12 @@ def _query_side(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", *vector, wanted.alias("wanted"))
 
 
+def winners(items: DataFrame, queries: DataFrame, payload) -> T.StructType:
+    """The schema of what tasks return."""
+    found = [T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("score_key", T.DoubleType())]
+    return T.StructType([queries.schema["query_id"], *found, *(items.schema[c] for c in payload)])
+
+
 def nearest(
     items: DataFrame,
     queries: DataFrame,
@@ -339,48 +347,94 @@ def nearest(
         raise ValueError("a type filter needs items with item_type")
     left = _item_side(items, payload)
     right = _query_side(queries)
-    schema = T.StructType(
-        [
-            right.schema["query_id"],
-            T.StructField("item_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("score_key", T.DoubleType()),
-            *[left.schema[c] for c in payload],
-        ]
-    )
-    found = None
-    for head in _query_tables(left, right, block_rows, block_bytes):
-        if found is None and head[0] > 1:
-            # Scanned once per block, so it must not be computed each time.
-            shared_folder(left.sparkSession)
-            left = left.checkpoint()
-        part = _by_broadcast(left, head[1], k, metric, payload, schema, decimals)
-        found = part if found is None else found.unionAll(part)
+    schema = winners(left, right, payload)
+    head = _small_table(right, block_rows, block_bytes)
+    if head is not None:
+        found = _by_broadcast(left, head, k, metric, payload, schema, decimals)
+    else:
+        found = _by_grid(left, right, k, metric, payload, schema, decimals, block_rows, block_bytes)
     best = [F.col("score_key").desc(), F.col("item_id").asc()]
     # Every task holds rows of every query, so the last step is narrowed twice.
     ranked = top_rows(found, ["query_id"], best, k, salts=wide_salts(found))
     return ranked.drop("score_key")
 
 
-def _query_tables(items, queries, rows, size):
-    """(number of blocks, block) for every block of queries, each within ``rows`` and about ``size`` bytes.
+def _extent(queries: DataFrame) -> DataFrame:
+    """(rows, about how many bytes) of a query table."""
+    vector = F.size("vector") * 4 if "vector" in queries.columns else F.size("indices") * 12
+    return queries.agg(F.count("*"), F.coalesce(F.sum(vector.cast("long") + 32), F.lit(0)))
 
-    A first look reads a few rows of a small table; a larger one is written
-    once, measured, and dealt out by hash, one block after the other.
-    """
+
+def _small_table(queries: DataFrame, rows: int, size: int):
+    """The query table, if it is within one block's bounds; nothing of a larger one reaches the driver."""
     look = min(rows, 4096)
-    head = queries.limit(look + 1).toArrow()
-    if head.num_rows <= look and head.nbytes <= size:
-        yield 1, head
-        return
+    found, total = _extent(queries.limit(look + 1)).first()
+    return queries.toArrow() if found <= look and total <= size else None
+
+
+def _by_grid(items, queries, k, metric, payload, schema, decimals, rows, size):
+    """Every block of queries meets every slice of the items in a task of its own.
+
+    Queries are copied once per slice and items once per block, so the blocks are
+    as large as the bounds allow, and there are only as many slices as give every
+    task of a shuffle work.
+    """
     shared_folder(queries.sparkSession)
     queries = queries.checkpoint()
-    vector = F.size("vector") * 4 if "vector" in queries.columns else F.size("indices") * 12
-    n, total = queries.agg(F.count("*"), F.sum(vector.cast("long") + 32)).first()
-    blocks = max(1, -(-n // rows), -(-(total or 0) // size))
-    for block in range(blocks):
-        share = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
-        yield blocks, queries.where(share).toArrow()
+    n, total = _extent(queries).first()
+    blocks = max(1, -(-n // rows), -(-total // size))
+    width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, -(-width // blocks))
+    asked = queries.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), _each(slices).alias("slice"), F.struct("*").alias("query")
+    )
+    given = items.select(
+        _each(blocks).alias("block"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("slice"), F.struct("*").alias("item")
+    )
+    return score_cells(asked, given, ["block", "slice"], k, metric, payload, schema, decimals)
+
+
+def _each(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def score_cells(asked, given, cell, k, metric, payload, schema, decimals):
+    """Winners of the queries (cell, query) among the items (cell, item) of the same cell.
+
+    A task holds the queries of one cell, which come first, and streams its items past them.
+    """
+    asked = asked.select(*cell, "query", F.lit(None).cast(given.schema["item"].dataType).alias("item"))
+    given = given.select(*cell, F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "item")
+    met = asked.unionByName(given).repartition(*cell).sortWithinPartitions(*cell, F.col("query").isNull())
+
+    def rows_of(column):
+        return pa.RecordBatch.from_arrays(column.flatten(), [f.name for f in column.type])
+
+    def score(batches):
+        at, held, scorer, ids = None, [], None, None
+        for batch in batches:
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in cell]
+            is_item = pc.is_valid(batch.column("item")).to_numpy(zero_copy_only=False)
+            new = np.any([x[1:] != x[:-1] for x in (*keys, is_item)], axis=0) if batch.num_rows > 1 else np.empty(0, bool)
+            bounds = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for begin, end in zip(bounds, bounds[1:]):
+                here = tuple(x[begin] for x in keys)
+                if here != at:
+                    if scorer is not None:
+                        yield from (b for table in scorer.result(ids) for b in table.to_batches())
+                    at, held, scorer = here, [], None
+                part = batch.slice(begin, end - begin)
+                if not is_item[begin]:
+                    held.append(rows_of(part.column("query")))
+                elif held:
+                    if scorer is None:
+                        table = pa.Table.from_batches(held)
+                        scorer, ids = Scorer(query_blocks(table), k, metric, payload, decimals), _plain(table.column("query_id"))
+                    scorer.add(rows_of(part.column("item")))
+        if scorer is not None:
+            yield from (b for table in scorer.result(ids) for b in table.to_batches())
+
+    return met.mapInArrow(score, schema)
 
 
 def _by_broadcast(items, head, k, metric, payload, schema, decimals):

@@ -270,3 +270,32 @@ def test_each_text_is_encoded_once_in_blocks(spark):
     assert calls.value == 120
     vectors.text_search(items, texts.select(F.col("item_id").alias("query_id"), "query"), load, 3).collect()
     assert calls.value == 240
+
+
+def test_many_blocks_of_queries_never_reach_the_driver(spark, monkeypatch):
+    """With more queries than a block holds, no Arrow table or list of rows with vectors is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    items = make(300, 5, 8)
+    frame = spark.createDataFrame(items, ITEMS).repartition(4)
+    asked = frame.select(F.col("item_id").alias("query_id"), "vector", F.lit(None).cast("string").alias("query_type")).checkpoint()
+    whole = ranked(nearest(frame, asked, 4, payload=["name"]))
+    seen = []
+    for name in ("toArrow", "collect", "toPandas"):
+        known = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, known=known, **b: (seen.append(self.columns), known(self, *a, **b))[1])
+    found = nearest(frame, asked, 4, payload=["name"], block_rows=50)
+    assert not [c for columns in seen for c in columns if c in ("vector", "query", "item")]
+    monkeypatch.undo()
+    assert ranked(found) == whole
+    assert "BroadcastExchange" not in found._jdf.queryExecution().toString()
+
+
+def test_sparse_queries_in_many_blocks(spark):
+    texts = [(i, f"alpha{i % 7} beta{i % 11} gamma", "t", f"n{i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "item_id long, text string, item_type string, name string")
+    index = TfidfIndex.fit(docs, "text")
+    items = index.transform(docs)
+    asked = items.select(F.col("item_id").alias("query_id"), "indices", "weights")
+    few, many = (nearest(items, asked, 5, "dot", payload=["name"], decimals=6, block_rows=n) for n in (1000, 13))
+    assert ranked(few) == ranked(many)
