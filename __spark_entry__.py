@@ -21,6 +21,7 @@ from rankloom.functions import text as tx  # noqa: E402
 from rankloom.functions.tokens import with_terms  # noqa: E402
 from rankloom.operators import clean, evaluate, pages, rank, rerank, searchlog, vectors  # noqa: E402
 from rankloom.operators import l2_index as l2  # noqa: E402
+from rankloom.operators import postings  # noqa: E402
 from rankloom.operators.tfidf import TfidfIndex, retrieve  # noqa: E402
 from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
@@ -484,6 +485,19 @@ def tfidf_topk(spark, sf):
     return found.select("query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_ORACLES["tfidf_topk"])
+def tfidf_index_topk(spark, sf):
+    """The same search through an inverted index that is built, stored and read by term."""
+    docs = _load(spark, sf, "documents").select(
+        F.col("doc_id").alias("item_id"), "text", F.col("source").alias("item_type")
+    )
+    index, path = TfidfIndex.fit(docs, "text"), new_folder(spark, "postings")
+    postings.build(index.transform(docs).where(F.col("item_type").isNotNull()).drop("text"), path)
+    asked = _load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = postings.PostingIndex(spark, path).search(index.transform(asked, "query"), 20, payload=["item_type"], decimals=6)
+    return found.select("query_id", "item_id", "item_type", F.round("score", 6).alias("score"), "rank")
+
+
 # --- dense vectors and ranking ----------------------------------------------
 
 

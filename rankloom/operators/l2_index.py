@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.rank import top_rows
-from rankloom.operators.topk import score_cells, winners
+from rankloom.operators.topk import Scorer, score_cells, winners
 from rankloom.session import materialise
 
 SAMPLE, MOST_CELLS, SLICE_ROWS, BLOCK_ROWS = 20_000, 1024, 65_536, 65_536
@@ -159,7 +159,7 @@ class L2Index:
         each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         left = left.select("cell", "slice", each.alias("block"), F.struct("item_id", "vector", *payload).alias("item"))
         schema = winners(items, chosen, payload)
-        return score_cells(right, left, ["cell", "slice", "block"], k, "l2", list(payload), schema, decimals)
+        return score_cells(right, left, ["cell", "slice", "block"], schema, lambda table: Scorer.of(table, k, "l2", list(payload), decimals))
 
     def _two_steps(self, queries: DataFrame, k: int, payload, decimals: int | None):
         """(winners of the first cells, queries with their other cells, queries with their first cells)."""

@@ -144,7 +144,7 @@ def query_blocks(table) -> list[dict]:
     return blocks
 
 
-def _rank_key(score, decimals):
+def rank_key(score, decimals):
     """What scores are ranked by: rounded to decimals, or relative to their size."""
     if decimals is not None:
         # Beyond 2^53 in units of the last decimal there is nothing to round.
@@ -166,7 +166,7 @@ class _Best:
 
     def merge(self, score, item, ref):
         """Take in scores (queries x items) of items in ascending id order; minus infinity is no candidate."""
-        key = _rank_key(score, self.decimals)
+        key = rank_key(score, self.decimals)
         count = key.shape[1]
         if count > self.k:
             least = np.partition(key, count - self.k, axis=1)[:, [count - self.k]]
@@ -190,8 +190,14 @@ class _Best:
 class Scorer:
     """Best items of every block over the batches given to ``add``."""
 
-    def __init__(self, blocks, k, metric, payload, decimals=None):
+    @classmethod
+    def of(cls, table, k, metric, payload, decimals=None):
+        """For a table of queries."""
+        return cls(query_blocks(table), _plain(table.column("query_id")), k, metric, payload, decimals)
+
+    def __init__(self, blocks, query_ids, k, metric, payload, decimals=None):
         self.blocks = blocks
+        self.query_ids = query_ids
         self.best = [_Best(len(b["rows"]), k, decimals) for b in blocks]
         self.metric = metric
         self.payload = list(payload)
@@ -265,12 +271,12 @@ class Scorer:
             live = best.ref >= 0
             best.ref[live] = np.searchsorted(used, best.ref[live])
 
-    def result(self, query_ids):
+    def result(self):
         """One Arrow table of winners per block."""
         for block, best in zip(self.blocks, self.best):
             query, place = np.nonzero(best.key > _EMPTY)
             columns = {
-                "query_id": query_ids.take(pa.array(block["rows"][query])),
+                "query_id": self.query_ids.take(pa.array(block["rows"][query])),
                 "item_id": pa.array(best.item[query, place]),
                 "score": pa.array(best.score[query, place]),
                 "score_key": pa.array(best.key[query, place]),
@@ -359,7 +365,7 @@ def nearest(
     return ranked.drop("score_key")
 
 
-def _extent(queries: DataFrame) -> DataFrame:
+def extent(queries: DataFrame) -> DataFrame:
     """(rows, about how many bytes) of a query table."""
     vector = F.size("vector") * 4 if "vector" in queries.columns else F.size("indices") * 12
     return queries.agg(F.count("*"), F.coalesce(F.sum(vector.cast("long") + 32), F.lit(0)))
@@ -368,7 +374,7 @@ def _extent(queries: DataFrame) -> DataFrame:
 def _small_table(queries: DataFrame, rows: int, size: int):
     """The query table, if it is within one block's bounds; nothing of a larger one reaches the driver."""
     look = min(rows, 4096)
-    found, total = _extent(queries.limit(look + 1)).first()
+    found, total = extent(queries.limit(look + 1)).first()
     return queries.toArrow() if found <= look and total <= size else None
 
 
@@ -381,27 +387,29 @@ def _by_grid(items, queries, k, metric, payload, schema, decimals, rows, size):
     """
     shared_folder(queries.sparkSession)
     queries = queries.checkpoint()
-    n, total = _extent(queries).first()
+    n, total = extent(queries).first()
     blocks = max(1, -(-n // rows), -(-total // size))
     width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, -(-width // blocks))
     asked = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), _each(slices).alias("slice"), F.struct("*").alias("query")
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(slices).alias("slice"), F.struct("*").alias("query")
     )
     given = items.select(
-        _each(blocks).alias("block"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("slice"), F.struct("*").alias("item")
+        each(blocks).alias("block"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("slice"), F.struct("*").alias("item")
     )
-    return score_cells(asked, given, ["block", "slice"], k, metric, payload, schema, decimals)
+    return score_cells(asked, given, ["block", "slice"], schema, lambda table: Scorer.of(table, k, metric, payload, decimals))
 
 
-def _each(n: int):
+def each(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
-def score_cells(asked, given, cell, k, metric, payload, schema, decimals):
+def score_cells(asked, given, cell, schema, scorer_of):
     """Winners of the queries (cell, query) among the items (cell, item) of the same cell.
 
-    A task holds the queries of one cell, which come first, and streams its items past them.
+    A task holds the queries of one cell, which come first, and streams its items
+    past them: ``scorer_of(query table)`` takes batches of items by ``add`` and
+    gives tables of ``schema`` by ``result``.
     """
     asked = asked.select(*cell, "query", F.lit(None).cast(given.schema["item"].dataType).alias("item"))
     given = given.select(*cell, F.lit(None).cast(asked.schema["query"].dataType).alias("query"), "item")
@@ -411,7 +419,7 @@ def score_cells(asked, given, cell, k, metric, payload, schema, decimals):
         return pa.RecordBatch.from_arrays(column.flatten(), [f.name for f in column.type])
 
     def score(batches):
-        at, held, scorer, ids = None, [], None, None
+        at, held, scorer = None, [], None
         for batch in batches:
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in cell]
             is_item = pc.is_valid(batch.column("item")).to_numpy(zero_copy_only=False)
@@ -421,18 +429,17 @@ def score_cells(asked, given, cell, k, metric, payload, schema, decimals):
                 here = tuple(x[begin] for x in keys)
                 if here != at:
                     if scorer is not None:
-                        yield from (b for table in scorer.result(ids) for b in table.to_batches())
+                        yield from (b for table in scorer.result() for b in table.to_batches())
                     at, held, scorer = here, [], None
                 part = batch.slice(begin, end - begin)
                 if not is_item[begin]:
                     held.append(rows_of(part.column("query")))
                 elif held:
                     if scorer is None:
-                        table = pa.Table.from_batches(held)
-                        scorer, ids = Scorer(query_blocks(table), k, metric, payload, decimals), _plain(table.column("query_id"))
+                        scorer = scorer_of(pa.Table.from_batches(held))
                     scorer.add(rows_of(part.column("item")))
         if scorer is not None:
-            yield from (b for table in scorer.result(ids) for b in table.to_batches())
+            yield from (b for table in scorer.result() for b in table.to_batches())
 
     return met.mapInArrow(score, schema)
 
@@ -444,10 +451,10 @@ def _by_broadcast(items, head, k, metric, payload, schema, decimals):
     )
 
     def score(batches):
-        scorer = Scorer(shared.value["blocks"], k, metric, payload, decimals)
+        scorer = Scorer(shared.value["blocks"], shared.value["ids"], k, metric, payload, decimals)
         for batch in batches:
             scorer.add(batch)
-        for table in scorer.result(shared.value["ids"]):
+        for table in scorer.result():
             yield from table.to_batches()
 
     return items.mapInArrow(score, schema)
