@@ -21,7 +21,7 @@ from rankloom.functions import text as tx  # noqa: E402
 from rankloom.functions.tokens import with_terms  # noqa: E402
 from rankloom.operators import clean, evaluate, pages, rank, rerank, searchlog, vectors  # noqa: E402
 from rankloom.operators import l2_index as l2  # noqa: E402
-from rankloom.operators import postings  # noqa: E402
+from rankloom.operators import postings, result_cache  # noqa: E402
 from rankloom.operators.tfidf import TfidfIndex, retrieve  # noqa: E402
 from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
@@ -700,6 +700,50 @@ def request_dedupe(spark, sf):
     return tagged.select("request_id", "query", "query_id", "cached")
 
 
+def _cached_batches(spark, sf):
+    """(batch, answers, store before, store after): even requests, then odd ones, through a store of 1000 keys."""
+    requests = _event_requests(spark, sf).select("request_id", "query", "k", "item_type")
+    store = None
+    for batch in (0, 1):
+        answer = F.concat(F.upper("query"), F.lit(":"), F.coalesce(F.col("k").cast("string"), F.lit("-"))).alias("answer")
+        answers, after = result_cache.serve(requests.where(F.col("request_id") % 2 == batch), store, lambda new: new.select("query_id", answer), batch)
+        yield batch, answers, store, after
+        store = after
+
+
+_CACHE_SQL = f"""{_REQUESTS_SQL}, r AS (SELECT request_id, query, k, item_type, request_id % 2 AS batch FROM requests),
+keys AS (SELECT batch, query, k, item_type, min(request_id) AS query_id FROM r GROUP BY ALL),
+store AS (SELECT * FROM keys WHERE batch = 0 ORDER BY query_id DESC LIMIT 1000),
+known AS (SELECT q.*, s.query_id IS NOT NULL AS found FROM keys q LEFT JOIN store s
+  ON q.batch = 1 AND q.query IS NOT DISTINCT FROM s.query AND q.k IS NOT DISTINCT FROM s.k AND q.item_type IS NOT DISTINCT FROM s.item_type),
+answers AS (SELECT r.batch, r.request_id, n.query_id, CASE WHEN found THEN 'stored' WHEN r.request_id = n.query_id THEN 'computed' ELSE 'repeat' END AS status,
+  upper(r.query) || ':' || coalesce(CAST(r.k AS VARCHAR), '-') AS answer
+  FROM r JOIN known n ON r.batch = n.batch AND r.query IS NOT DISTINCT FROM n.query AND r.k IS NOT DISTINCT FROM n.k AND r.item_type IS NOT DISTINCT FROM n.item_type)"""
+
+
+@query(f"WITH {_CACHE_SQL} SELECT * FROM answers")
+def cache_two_batches(spark, sf):
+    """Every request of two batches with its answer and whether it came from the store."""
+    found = None
+    for batch, answers, _, _ in _cached_batches(spark, sf):
+        part = answers.select(F.lit(batch).cast("long").alias("batch"), "request_id", "query_id", "status", "answer")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query(f"""WITH {_CACHE_SQL}, n AS (SELECT batch, count(*) AS requests, count(*) FILTER (status = 'stored') AS stored,
+  count(*) FILTER (status = 'repeat') AS repeat, count(*) FILTER (status = 'computed') AS computed FROM answers GROUP BY batch)
+SELECT n.*, CAST(CASE WHEN n.batch = 0 THEN greatest(0, n.computed - 1000)
+  ELSE greatest(0, least(1000, (SELECT computed FROM n WHERE batch = 0)) + n.computed - 1000) END AS BIGINT) AS evicted FROM n""")
+def cache_counts(spark, sf):
+    """Hits, misses and evictions of the two batches."""
+    found = None
+    for batch, answers, before, after in _cached_batches(spark, sf):
+        part = result_cache.counts(answers, before, after, batch)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query(f"""WITH {_ITEMS_SQL}, typed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM pairs
   WHERE coalesce(query_type, '') IN ('', 'ALL') OR lower(query_type) = lower(item_type)),

@@ -64,7 +64,8 @@ def answer(
     """
     distinct = materialise(rk.distinct_requests(requests))
     queries = distinct.select("query_id", "query", "k", F.col("item_type").alias("query_type"))
-    pools = pools_for(index, items, queries, decimals)
+    # Written, as prompts, results and log rows are all made of them; 20 candidates a query.
+    pools = materialise(pools_for(index, items, queries, decimals))
     if responses is None and load_answerer is not None:
         asked = rr.build_prompts(pools.withColumn("k", F.col("k") * 2))
         responses = materialise(rr.answer_prompts(asked, load_answerer, batch_size))
