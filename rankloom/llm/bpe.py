@@ -24,6 +24,7 @@ from __future__ import annotations
 import gc
 import json
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 from struct import pack
 
@@ -44,7 +45,7 @@ PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 NEVER = 1 << 60
 TABLE_BITS = 19
 # Pieces of more characters are worked out alone; so many characters of others at a time.
-LONG, HELD, LONG_PAIRS = 200, 100_000, 100_000
+LONG, HELD, LONG_PAIRS = 200, 60_000, 100_000
 # Words of more characters aren't remembered; what an entry takes besides its characters.
 LONG_WORD, ENTRY_BYTES = 48, 220
 
@@ -61,16 +62,16 @@ class Decoder:
         byte_of = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(others)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ids = {name: i for name, i in spec["model"]["vocab"].items() if name not in self.special}
-        self.bytes_of = [b""] * (1 + max([*ids.values(), *self.special.values()]))
+        bytes_of = [b""] * (1 + max([*ids.values(), *self.special.values()]))
         for name, i in ids.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in name)
+            bytes_of[i] = bytes(byte_of[c] for c in name)
         for name, i in self.special.items():
-            self.bytes_of[i] = name.encode()
-        self.tokens = pa.array(self.bytes_of, pa.large_binary())
+            bytes_of[i] = name.encode()
+        self.tokens = pa.array(bytes_of, pa.large_binary())
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(self.tokens[i].as_py() for i in ids).decode("utf-8", "replace")
 
     def decode_all(self, ids: pa.Array) -> pa.Array:
         """The texts of lists of ids; null lists give empty texts."""
@@ -96,8 +97,18 @@ class Pairs:
         self.left, self.right, self.gone = (np.full(tokens, f, np.int64) for f in (-1, -1, NEVER))
         whole, rank = np.unique(merges[:, 2], return_index=True)
         self.left[whole], self.right[whole], self.gone[whole] = merges[rank, 0], merges[rank, 1], rank
+        self._forget()
+
+    def _forget(self) -> None:
         self.asked, self.answers = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS, bool)
 
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k not in ("asked", "answers")}
+
+    def __setstate__(self, state):
+        vars(self).update(state)
+        self._forget()
+
     def reachable(self, tokens: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of a token gives that token: its two parts are not torn apart before."""
         out, made = np.ones(len(tokens), bool), np.flatnonzero(self.left[tokens] >= 0)
@@ -188,21 +199,30 @@ class Endings:
 
 
 class Codec(Decoder):
-    """Encodes as well; words it has met are remembered up to about ``remembered`` bytes."""
+    """Encodes as well; words it has met are remembered up to about ``remembered`` bytes.
 
-    def __init__(self, definition: str, remembered: int = 64 << 20):
+    It is built once and sent to the workers as arrays, without what it remembers.
+    """
+
+    def __init__(self, definition: str, remembered: int = 40 << 20):
         spec = json.loads(definition)
         ids = self._read(spec)
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         merges = np.array([(ids[left], ids[right], ids[left + right]) for left, right in merges], np.int64).reshape(-1, 3)
+        pairs, known = Pairs(merges, len(self.tokens)), np.array(list(ids.values()), np.int64)
+        endings = Endings({i: self.tokens[i].as_py() for i in known[pairs.reachable(known)].tolist()})
+        self.__setstate__((sha256(definition.encode()).hexdigest(), self.special, self.tokens, pairs, endings, remembered))
+
+    def __getstate__(self):
+        return self.name, self.special, self.tokens, self.pairs, self.endings, self.remembered
+
+    def __setstate__(self, state):
+        self.name, self.special, self.tokens, self.pairs, self.endings, self.remembered = state
         self.pieces = regex.compile(PIECES)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.special_ids = {"  " + name: pack("=i", i) for name, i in self.special.items()}
-        self.words, self.earlier, self.size, self.remembered = {}, {}, 0, remembered
-        self.pairs = Pairs(merges, len(self.bytes_of))
-        tokens = np.array(list(ids.values()), np.int64)
-        self.endings = Endings({i: self.bytes_of[i] for i in tokens[self.pairs.reachable(tokens)].tolist()})
-        self.longest = max(map(len, self.bytes_of))
+        self.words, self.earlier, self.size = {}, {}, 0
+        self.longest = pc.max(pc.binary_length(self.tokens)).as_py()
 
     def _long_piece(self, piece: str) -> bytes:
         """Ids of one piece of any length, position by position."""
@@ -358,16 +378,12 @@ class Codec(Decoder):
         return self.encode_all([text])[0]
 
 
-_CODECS: dict[tuple, Decoder] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def _codec(kind: type[Decoder], definition) -> Decoder:
-    """One codec of a kind per Python worker and broadcast vocabulary."""
-    key = kind, hash(definition.value)
-    if key not in _CODECS:
-        _CODECS[key] = kind(definition.value)
-        gc.freeze()  # its tables live as long as the worker, and needn't be looked through
-    return _CODECS[key]
+def _codec(shared) -> Codec:
+    """One codec of a vocabulary per Python worker, with what it remembers."""
+    return _CODECS.setdefault(shared.value.name, shared.value)
 
 
 def _replaced(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -379,9 +395,9 @@ def _schema(docs: DataFrame, **added) -> T.StructType:
     return T.StructType([*(f for f in docs.schema if f.name not in added), *(T.StructField(n, t) for n, t in added.items())])
 
 
-def _encoded(definition, text: str, ids: str):
+def _encoded(shared, text: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(Codec, definition)
+        codec = _codec(shared)
         for batch in short(batches):
             rows = codec.encode_all([t or "" for t in batch.column(text).to_pylist()])
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
@@ -403,9 +419,9 @@ def _joined(ids: str):
     return run
 
 
-def _decoded(definition, ids: str, text: str, kind: type[Decoder] = Decoder):
+def _decoded(shared, ids: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(kind, definition)
+        codec = _codec(shared)
         for batch in short(batches):
             yield _replaced(batch, text, codec.decode_all(batch.column(ids)))
 
@@ -413,9 +429,9 @@ def _decoded(definition, ids: str, text: str, kind: type[Decoder] = Decoder):
 
 
 def share_vocabulary(spark, path: str):
-    """The vocabulary file's text, read once on the driver and sent to the workers (1.5 MB)."""
+    """The vocabulary file, read once on the driver and sent to the workers as a codec's tables (some 10 MB)."""
     with open(path, encoding="utf-8") as file:
-        return spark.sparkContext.broadcast(file.read())
+        return spark.sparkContext.broadcast(Codec(file.read()))
 
 
 def encode(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -439,7 +455,7 @@ def round_trip(docs: DataFrame, vocabulary, text: str = "text", ids: str = "ids"
     added = {ids: T.StringType(), "n_tokens": T.LongType()} if as_text else {ids: T.ArrayType(T.IntegerType())}
     schema = _schema(docs, **added, **{decoded: T.StringType()})
     kept = T.StructType([f for f in schema if f.name != text or text == decoded])
-    there, back, joined = _encoded(vocabulary, text, ids), _decoded(vocabulary, ids, decoded, Codec), _joined(ids)
+    there, back, joined = _encoded(vocabulary, text, ids), _decoded(vocabulary, ids, decoded), _joined(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = back(there(batches))

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -83,6 +84,14 @@ def test_pairs_on_arrays_are_as_one_by_one(pair, monkeypatch):
     assert codec.pairs.apart(first, second).tolist() == want
 
 
+def test_sent_codecs_are_the_same_and_remember_nothing(pair):
+    codec, _ = pair
+    sent = pickle.dumps(codec)
+    again = pickle.loads(sent)
+    texts = [*cases()][:300]
+    assert len(sent) < 12 << 20 and not again.words and again.encode_all(texts) == codec.encode_all(texts)
+
+
 def test_ids_that_cut_characters_decode_as_in_the_library(pair):
     codec, library = pair
     rng = random.Random(4)
