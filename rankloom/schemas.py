@@ -31,14 +31,6 @@ CATALOG_RAW = _struct(
     (URL, T.StringType(), True),
 )
 
-CATALOG_CLEAN = _struct(
-    (NAME, T.StringType(), True),
-    (DESCRIPTION, T.StringType(), True),
-    (URL, T.StringType(), True),
-    (EMBEDDING_TEXT, T.StringType(), True),
-    (ITEM_TYPE, T.StringType(), True),
-)
-
 EMBEDDINGS = _struct(
     ("item_id", T.LongType(), False),
     ("vector", T.ArrayType(T.FloatType(), False), False),
@@ -53,14 +45,6 @@ RUN_CONFIG = _struct(
     ("metadata_file", T.StringType(), True),
 )
 
-REQUESTS = _struct(
-    ("request_id", T.LongType(), False),
-    ("query", T.StringType(), False),
-    ("k", T.IntegerType(), True),
-    ("item_type", T.StringType(), True),
-    ("session_id", T.StringType(), True),
-)
-
 SEARCH_HISTORY = _struct(
     ("id", T.LongType(), False),
     ("session_id", T.StringType(), False),
@@ -86,8 +70,3 @@ TRUTH = _struct(
     ("Query", T.StringType(), True),
     ("Assessment_url", T.StringType(), True),
 )
-
-RESPONSES = _struct(
-    ("query_id", T.LongType(), False),
-    ("content", T.StringType(), True),
-)
