@@ -12,7 +12,11 @@ one of equals, so the counts add up to the document's.
 Defined results: a null field is empty and has no tokens of its own, only those
 of its line break; an empty document has one empty section. Rows never meet, so
 repeated rows and ties between them need no rule. Other columns are passed on,
-but for those of the names of the results, which are replaced.
+but for those of the names of the results, which are replaced. The library's
+matcher keeps a state for every character of a run of white space and overflows
+on some hundred thousand of them; texts with such a run are cut into the pattern's
+pieces by another matcher, and every piece is encoded for itself, as the library
+does after its own cut.
 """
 
 from __future__ import annotations
@@ -22,12 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rankloom.llm.batches import short
 
+# White space in a row that is left to the library's matcher.
+LONG_BLANK = 50_000
+_BLANKS = regex.compile(r"\s+")
+
 RESULTS = {
     "n_tokens": T.LongType(),
     "n_crossing": T.LongType(),
@@ -48,10 +57,16 @@ class Counter:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.length = np.zeros(max(table.values()) + 1, np.int64)
         self.length[list(table.values())] = list(map(len, table))
+        self.pattern = regex.compile(pattern)
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) <= LONG_BLANK or max(map(len, _BLANKS.findall(text)), default=0) <= LONG_BLANK:
+            return self.encoding.encode_ordinary(text)
+        return [i for piece in self.pattern.finditer(text) for i in self.encoding._encode_single_piece(piece.group())]
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of every token."""
-        sizes = self.length[np.array(self.encoding.encode_ordinary(text), np.int64)]
+        sizes = self.length[np.array(self.encode(text), np.int64)]
         ends = np.cumsum(sizes)
         starts = ends - sizes
         data = np.frombuffer(text.encode(), np.uint8)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -32,28 +34,60 @@ def test_boundary_rule():
     assert own.tolist() == [0, 0, 1, 1, 3, 2, 1] and crossing.tolist() == [1, 2, 3, 4, 6]
 
 
-@pytest.mark.parametrize("values", [["s", "en", t] for t in TEXTS] + [[None, None, None], ["", "", "a\nb"], ["x\ny", "é", "q"]])
-def test_counts_add_up(counter, values):
-    total, crossing, fields, sections = token_counts.count(counter, values, True)
-    assert total == sum(fields) and fields[-1] == sum(sections) and 0 <= crossing <= total
+def brute(counter, values):
+    """n_tokens, n_crossing, field_tokens and section_tokens, from the owner of every single character."""
     text = values[-1] or ""
-    assert len(sections) == 1 + text[:-1].count("\n")
+    owner = [f for f, v in enumerate(values[:-1]) for _ in range(len(v or "") + 1)]
+    lines = text.split("\n")
+    if len(lines) > 1 and not lines[-1]:
+        lines.pop()  # a line break at the end belongs to its line
+    for k, line in enumerate(lines):
+        owner += [len(values) - 1 + k] * (len(line) + 1)
     whole = "\n".join(v or "" for v in values)
-    # By brute force: the owner of each token from its characters one by one.
-    field_of = [0] * (len(values[0] or "") + 1) + [1] * (len(values[1] or "") + 1) + [2] * len(text)
-    want = [0, 0, 0]
-    for start, end in zip(*counter.spans(whole)):
-        held = [field_of[start:end].count(f) for f in range(3)]
-        want[held.index(max(held))] += 1
-    if text.count("\n") == 0:
-        assert fields == want
+    owner = owner[: len(whole)]
+    counts, crossing, tokens = [0] * (len(values) - 1 + len(lines)), 0, list(zip(*counter.spans(whole), strict=True))
+    for start, end in tokens:
+        held = owner[start:end]
+        counts[max(sorted(set(held)), key=held.count)] += 1
+        crossing += len(set(held)) > 1
+    return len(tokens), crossing, [*counts[: len(values) - 1], sum(counts[len(values) - 1 :])], counts[len(values) - 1 :]
+
+
+def messy(seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(["a", "word", " ", "\n", "\n\n", "  ", "é", "日本", "12", "!?", "\t", "\u2003"]) for _ in range(rng.randint(0, 60))) for _ in range(3)]
+
+
+MANY = [["s", "en", t] for t in TEXTS] + [[None, None, None], ["", "", "a\nb"], ["x\ny", "é", "q"]] + [messy(s) for s in range(60)]
+
+
+@pytest.mark.parametrize("values", MANY)
+def test_counts_equal_brute_force(counter, values):
+    assert token_counts.count(counter, values, True) == brute(counter, values)
+
+
+def test_crossing_tokens_are_met(counter):
+    assert any(token_counts.count(counter, v, True)[1] for v in MANY)
+
+
+def test_cut_into_pieces_is_the_library_s(counter, monkeypatch):
+    monkeypatch.setattr(token_counts, "LONG_BLANK", 1)
+    for text in [t for v in MANY for t in v if t] + ["a  b\u2028\x1c\x85 c", "a" + " " * 300 + "b" + "\n" * 70, " \n \u3000 x  "]:
+        assert counter.encode(text) == counter.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "x", "\u2003", " \n", "é"])
+def test_very_long_runs(counter, run):
+    text = "a" + run * 5_000_000 + "b c"
+    starts, ends = counter.spans(text)
+    assert starts[0] == 0 and ends[-1] == len(text) and (starts[1:] <= ends[:-1]).all() and (starts[1:] >= starts[:-1]).all()
 
 
 def test_attribute(spark, docs):
-    frame = docs([(1, "a\nb"), (1, "a\nb"), (None, None), (4, ""), (5, "long " * 30_000)]).withColumnRenamed("key", "n_tokens")
+    frame = docs([(1, "a\nb"), (1, "a\nb"), (None, None), (4, ""), (5, "long " * 30_000), (6, "a" + " " * 1_000_000 + "b")]).withColumnRenamed("key", "n_tokens")
     ranks = token_counts.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     made = token_counts.attribute(frame, ranks, public_tokenizers.PATTERN, ["source", "lang", "text"])
     assert made.columns == [*(c for c in frame.columns if c != "n_tokens"), "n_tokens", "n_crossing", "field_tokens", "section_tokens"]
     rows = made.collect()
-    assert [len(r.section_tokens) for r in rows] == [2, 2, 1, 1, 1] and all(r.n_tokens == sum(r.field_tokens) for r in rows)
+    assert [len(r.section_tokens) for r in rows] == [2, 2, 1, 1, 1, 1] and all(r.n_tokens == sum(r.field_tokens) for r in rows)
     assert token_counts.attribute(frame.where("false"), ranks, public_tokenizers.PATTERN, ["text"], False).count() == 0
