@@ -29,6 +29,7 @@ from rankloom.plans import recommend as recommend_plan  # noqa: E402
 from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
 from rankloom.session import new_folder  # noqa: E402
 from rankloom.sources import export, tables  # noqa: E402
+from rankloom.sources import searchlog as log_store  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
 
 # The stand-in encoder below travels to the tasks by value.
@@ -981,8 +982,27 @@ dense AS (SELECT a.query_id, c.item_id, c.name, c.item_type, coalesce(nullif(lis
 chosen AS (SELECT * FROM lexical WHERE rank <= k UNION ALL SELECT * FROM dense WHERE rank <= k)"""
 
 
-def _flow(spark, sf):
-    """Each benchmark text asks twice; the second is a repeat. Some requests fail, some have no answer of the model."""
+def _third_and_first():
+    """A stand-in for a re-ranking model: names the third and the first candidate of a prompt.
+
+    It fails on some requests, by the length of their text.
+    """
+
+    def answer(prompt):
+        query, rest = prompt[len(rerank.PROMPT_HEAD) :].split(rerank.PROMPT_CANDIDATES, 1)
+        if len(query) % 3 == 0:
+            raise TimeoutError
+        lines = rest.split(rerank.PROMPT_SELECT, 1)[0].split("\n")
+        return f"1. {lines[2][3:]}\n2. {lines[0][3:]}"
+
+    return answer
+
+
+def _flow(spark, sf, called=False):
+    """Each benchmark text asks twice; the second is a repeat. Some requests fail, some have no answer of the model.
+
+    Answers come from a table, or with ``called`` from a model that is asked.
+    """
     index, items = catalog_plan.fit_catalog(clean.clean_catalog(_raw_catalog(spark, sf)))
     asked = _load(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array(F.lit(0), F.lit(1_000_000))).alias("add"))
     key = F.col("item_id")
@@ -991,22 +1011,37 @@ def _flow(spark, sf):
         F.when(key % 2 == 0, F.lit("gENERAL")).alias("item_type"), F.lit("s").alias("session_id"), (key % 7 == 3).alias("failed"),
     )
     queries = requests.where(F.col("request_id") < 1_000_000).select(F.col("request_id").alias("query_id"), "query", "k", F.col("item_type").alias("query_type"))
-    pools = recommend_plan.pools_for(index, items, queries, 6)
-    name = lambda i: F.coalesce(F.get("pool", F.lit(i))["name"], F.lit(""))
-    responses = pools.where(F.col("query_id") % 3 != 0).select("query_id", F.concat(F.lit("1. "), name(2), F.lit("\n2. "), name(0)).alias("content"))
     docs = catalog_plan.clean_catalog(_raw_catalog(spark, sf)).select("item_id", "name", "url", "item_type", "embedding_text")
     dense = vectors.encode(docs, "embedding_text", _letter_encoder)
     vector = vectors.encode(queries.select("query_id", "query"), "query", _letter_encoder).select("query_id", "vector")
+    if called:
+        return recommend_plan.answer(requests, index, items, load_answerer=_third_and_first, dense=(dense, vector), decimals=6)
+    pools = recommend_plan.pools_for(index, items, queries, 6)
+    name = lambda i: F.coalesce(F.get("pool", F.lit(i))["name"], F.lit(""))
+    responses = pools.where(F.col("query_id") % 3 != 0).select("query_id", F.concat(F.lit("1. "), name(2), F.lit("\n2. "), name(0)).alias("content"))
     return recommend_plan.answer(requests, index, items, responses, dense=(dense, vector), decimals=6)
 
 
-@query(f"""{_FLOW_SQL}, twice AS (SELECT query_id + a AS request_id, * FROM chosen, (VALUES (0), (1000000)) t(a))
+_RESULTS_SQL = f"""{_FLOW_SQL}, twice AS (SELECT query_id + a AS request_id, * FROM chosen, (VALUES (0), (1000000)) t(a))
 SELECT request_id, query_id, item_id, name, item_type, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank,
-  CASE WHEN rank = 1 THEN CASE WHEN a > 0 THEN 'cached' ELSE method END END AS method FROM twice""")
+  CASE WHEN rank = 1 THEN CASE WHEN a > 0 THEN 'cached' ELSE method END END AS method FROM twice"""
+
+
+def _flow_results(answers):
+    found = rank.tag_first(recommend_plan.results(answers))
+    return found.select("request_id", "query_id", "item_id", "name", "item_type", F.round("score", 4).alias("score"), "rank", "method")
+
+
+@query(_RESULTS_SQL)
 def recommend_reranked(spark, sf):
     """The whole flow: repeats, answers of the model, type wishes, failed requests with dense results."""
-    found = rank.tag_first(recommend_plan.results(_flow(spark, sf)))
-    return found.select("request_id", "query_id", "item_id", "name", "item_type", F.round("score", 4).alias("score"), "rank", "method")
+    return _flow_results(_flow(spark, sf))
+
+
+@query(_RESULTS_SQL.replace("item_id % 3 <> 0 AND", "length(text) % 3 <> 0 AND"))
+def recommend_called(spark, sf):
+    """The same flow with a model that is asked for every distinct request, and fails on some."""
+    return _flow_results(_flow(spark, sf, called=True))
 
 
 @query(f"""{_FLOW_SQL}, n AS (SELECT query_id, count(*) AS n FROM chosen GROUP BY query_id)
@@ -1061,6 +1096,47 @@ def log_analytics_rows(spark, sf):
     return rows.withColumn("created_at", _at("created_at"))
 
 
+def _stored_logs(spark, sf):
+    """Both logs after three batches, deletes after the first and the second, and a compaction before the last two steps."""
+    found = _event_searches(spark, sf)
+    logs = log_store.day_logs(spark, new_folder(spark, "log"))
+    log_store.append_numbered(found.where("id % 3 = 0"), logs, 0)
+    logs[0].clear(found.where("query_time_ms > 200").select("session_id"), 1)
+    log_store.append_numbered(found.where("id % 3 = 1"), logs, 2)
+    for log in logs:
+        log.compact()
+        log.vacuum()
+    logs[0].clear(found.where("session_id like '%3'").select("session_id"), 3)
+    log_store.append_numbered(found.where("id % 3 = 2"), logs, 4)
+    return logs
+
+
+_STORED_SQL = f"""WITH {_REQUESTS_SQL}, stored AS (SELECT * FROM searches WHERE NOT cached AND (id % 3 = 2 OR session_id NOT LIKE '%3' AND
+  (id % 3 = 1 OR session_id NOT IN (SELECT session_id FROM searches WHERE query_time_ms > 200))))"""
+
+
+@query(f"""{_STORED_SQL} SELECT id, session_id, query, result_count, method, query_time_ms, item_type,
+strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM stored""")
+def log_stored(spark, sf):
+    """The history as read back after appends, deletes and a compaction."""
+    return _stored_logs(spark, sf)[0].read().drop("day", "bucket").withColumn("created_at", _at("created_at"))
+
+
+@query(f"""{_STORED_SQL} SELECT query, result_count, method, item_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM stored
+WHERE session_id = '7' ORDER BY ts DESC, id DESC LIMIT 20""")
+def log_stored_session(spark, sf):
+    """One session's latest searches from its bucket of the stored history."""
+    found = searchlog.session_history(_stored_logs(spark, sf)[0].of_key("7"), "7")
+    return found.withColumn("created_at", _at("created_at"))
+
+
+@query(f"""WITH {_REQUESTS_SQL} SELECT count(*) AS total_queries, round(coalesce(avg(query_time_ms), 0), 2) AS avg_query_time_ms FROM searches
+WHERE NOT cached""")
+def log_stored_summary(spark, sf):
+    """Totals of the stored analytics, from which nothing is deleted."""
+    return searchlog.query_summary(_stored_logs(spark, sf)[1].read())
+
+
 @query(f"WITH {_REQUESTS_SQL} SELECT count(*) AS total_queries, round(coalesce(avg(query_time_ms), 0), 2) AS avg_query_time_ms FROM searches")
 def log_summary(spark, sf):
     return searchlog.query_summary(_event_searches(spark, sf))

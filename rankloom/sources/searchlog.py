@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from rankloom import schemas
 from rankloom.operators.searchlog import analytics_rows, history_rows, logged, without_sessions
 from rankloom.session import materialise
+from rankloom.sources.daylog import DayLog
 
 BUCKETS = 64
 
@@ -83,3 +84,19 @@ def one_session(history: DataFrame, session_id: str, buckets: int = BUCKETS) ->
     """Read a session from its bucket's folders only."""
     wanted = history.sparkSession.range(1).select(_bucket(F.lit(session_id), buckets)).first()[0]
     return history.where((F.col("bucket") == wanted) & (F.col("session_id") == session_id))
+
+
+def day_logs(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[DayLog, DayLog]:
+    """History and analytics below ``path`` as logs of numbered batches, with late deletes and compaction."""
+    history = DayLog(spark, f"{path}/history", schemas.SEARCH_HISTORY, "session_id", buckets=buckets)
+    return history, DayLog(spark, f"{path}/analytics", schemas.QUERY_ANALYTICS, "id", buckets=buckets)
+
+
+def append_numbered(searches: DataFrame, logs: tuple[DayLog, DayLog], number: int) -> None:
+    """Write one batch of searches to both logs. A batch that failed between them is written again under its number."""
+    computed = logged(searches).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for log, rows in zip(logs, (history_rows(computed), analytics_rows(computed)), strict=True):
+            log.append(rows, number)
+    finally:
+        computed.unpersist()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from rankloom.sources.searchlog import append_searches
+from rankloom.sources.daylog import DayLog
+from rankloom.sources.searchlog import append_numbered, append_searches
 
 
 def log_searches(
@@ -22,3 +23,16 @@ def log_searches(
 
     writer = searches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def log_numbered(searches: DataFrame, logs: tuple[DayLog, DayLog], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream of searches to logs of numbered batches: micro-batch n has the number 2n.
+
+    The odd numbers between are free for deletes.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_numbered(batch, logs, 2 * number)
+
+    writer = searches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
