@@ -21,13 +21,14 @@ from rankloom.functions import text as tx  # noqa: E402
 from rankloom.functions.tokens import with_terms  # noqa: E402
 from rankloom.operators import clean, evaluate, pages, rank, rerank, searchlog, vectors  # noqa: E402
 from rankloom.operators import l2_index as l2  # noqa: E402
-from rankloom.operators import postings, result_cache  # noqa: E402
+from rankloom.operators import containment, postings, result_cache, vector_store  # noqa: E402
+from rankloom.operators.term_store import TermStore  # noqa: E402
 from rankloom.operators.tfidf import TfidfIndex, retrieve  # noqa: E402
 from rankloom.operators.topk import nearest  # noqa: E402
 from rankloom.plans import catalog as catalog_plan  # noqa: E402
 from rankloom.plans import recommend as recommend_plan  # noqa: E402
 from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
-from rankloom.session import new_folder  # noqa: E402
+from rankloom.session import materialise, new_folder  # noqa: E402
 from rankloom.sources import export, tables  # noqa: E402
 from rankloom.sources import searchlog as log_store  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
@@ -89,6 +90,11 @@ def _load(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _dealt_docs(spark, sf, *columns):
+    """documents dealt to all cores: the test tables are single files of one row group, which one task would read."""
+    return materialise(_load(spark, sf, "documents").select(*columns), tasks=spark.sparkContext.defaultParallelism)
+
+
 def _raw_catalog(spark, sf):
     """documents as a raw catalog: first sentence as name, text as description."""
     return _load(spark, sf, "documents").select(
@@ -444,8 +450,7 @@ def tokenise(spark, sf):
 
 @query(f"WITH {_fit_sql('documents', 'doc_id', 'text')} SELECT term, total, df, round(idf, 6) AS idf FROM vocab")
 def tfidf_vocab(spark, sf):
-    docs = _load(spark, sf, "documents")
-    index = TfidfIndex.fit(docs.select("text"), "text")
+    index = TfidfIndex.fit(_dealt_docs(spark, sf, "text"), "text")
     return index.frame(spark).select("term", "total", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -457,6 +462,15 @@ def tfidf_saved(spark, sf):
     return TfidfIndex.load(spark, path).frame(spark).select("term", "total", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(_ORACLES["tfidf_vocab"])
+def tfidf_refit(spark, sf):
+    """The vocabulary from the stored counts of two batches."""
+    docs, store = _dealt_docs(spark, sf, "doc_id", "text"), TermStore(spark, new_folder(spark, "terms"))
+    for number in range(2):
+        store.add(docs.where(F.col("doc_id") % 2 == number), "text", number)
+    return store.fit().frame(spark).select("term", "total", "df", F.round("idf", 6).alias("idf"))
+
+
 @query(f"WITH {_LABELLED_SQL} SELECT doc_id, len(l) AS n_words FROM (SELECT doc_id, {_WORDS.format(text='description')} AS l FROM labelled)", ints=("n_words",))
 def tokenise_nulls(spark, sf):
     terms = with_terms(_labelled(spark, sf).select("doc_id", "description"), "description")
@@ -465,7 +479,7 @@ def tokenise_nulls(spark, sf):
 
 @query(f"WITH {_fit_sql('documents', 'doc_id', 'text')} SELECT key AS doc_id, term, round(w, 6) AS weight FROM dw")
 def tfidf_weights(spark, sf):
-    docs = _load(spark, sf, "documents").select("doc_id", "text")
+    docs = _dealt_docs(spark, sf, "doc_id", "text")
     weights = TfidfIndex.fit(docs, "text").weights(docs, "doc_id")
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -477,9 +491,7 @@ SELECT b.item_id AS query_id, d.doc_id AS item_id, d.source AS item_type, round(
 FROM benchmark b CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = b.item_id AND dots.item_id = d.doc_id
 QUALIFY rank <= 20""", ints=("rank",))
 def tfidf_topk(spark, sf):
-    docs = _load(spark, sf, "documents").select(
-        F.col("doc_id").alias("item_id"), "text", F.col("source").alias("item_type")
-    )
+    docs = _dealt_docs(spark, sf, F.col("doc_id").alias("item_id"), "text", F.col("source").alias("item_type"))
     index = TfidfIndex.fit(docs, "text")
     asked = _load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = retrieve(index, index.transform(docs), asked, 20, payload=["item_type"], decimals=6)
@@ -669,6 +681,30 @@ def encode(spark, sf):
     )
 
 
+@query(_ORACLES["encode"])
+def encode_stored(spark, sf):
+    """The same vectors from a store that had those of every other document before."""
+    docs, path = _load(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "vectors")
+    vector_store.add_missing(docs.where("doc_id % 2 = 0"), "text", _letter_encoder, path)
+    encoded = vector_store.encode_stored(docs, "text", _letter_encoder, path)
+    return encoded.select(
+        "doc_id", *[F.col("vector")[i].cast("double").alias(f"n_{c}") for i, c in enumerate(_LETTERS)]
+    )
+
+
+@query("""WITH titles AS (SELECT DISTINCT lower(t) AS title FROM (SELECT unnest([split_part(p_name, ' ', 2), p_name || ' kit', left(p_name, 2), p_type]) AS t FROM part)
+  WHERE t <> ''),
+names AS (SELECT lower(p_name) AS name, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1)
+SELECT title, CAST(sum(n) AS BIGINT) AS n_items, min(first) AS first_item FROM titles, names
+WHERE contains(name, title) OR contains(title, name) GROUP BY title""")
+def title_containment(spark, sf):
+    """Titles against all part names: words, beginnings and longer forms of these, and types."""
+    part = _load(spark, sf, "part")
+    forms = F.array(F.split_part("p_name", F.lit(" "), F.lit(2)), F.concat("p_name", F.lit(" kit")), F.left("p_name", F.lit(2)), F.col("p_type"))
+    items = part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
+    return containment.items_of_titles(part.select(F.explode(forms).alias("title")), items)
+
+
 @query(f"""WITH d AS (SELECT doc_id, source, [{_letters_sql('text')}] AS v FROM documents),
 b AS (SELECT item_id, [{_letters_sql('text')}] AS v FROM benchmark)
 SELECT b.item_id AS query_id, doc_id AS item_id, 'Document ' || doc_id AS name, source AS item_type,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import tokens
 from rankloom.functions.tokens import with_terms
 from rankloom.operators.topk import nearest
-from rankloom.session import shared_folder
+from rankloom.session import materialise
 
 MAX_FEATURES = 8000
 POOL = 20
@@ -59,8 +59,8 @@ def vocabulary(corpus: DataFrame, text: str, max_features: int = MAX_FEATURES) -
     than four times as many words are tied with the last, all pairs are counted.
     """
     order = [F.col("total").desc(), F.col("term")]
-    worded = corpus.select(tokens.words(F.col(text)).alias("terms"))
-    shared_folder(corpus.sparkSession)
+    # Written, as words and pairs are counted in two passes.
+    worded = materialise(corpus.select(tokens.words(F.col(text)).alias("terms")))
     single = _counts(worded).checkpoint()
     top = single.orderBy(*order).limit(max_features).select("term", "total", "df").toArrow()
     among = None

@@ -53,15 +53,17 @@ def new_folder(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Write a table that several jobs read into the shared folder and read it back.
 
     The rows survive lost executors, and later jobs read only their columns.
+    ``tasks`` deals them to so many files first, for sources of few large row
+    groups, which few tasks could read.
     :func:`drop_materialised` deletes what a session has written so.
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    (df.repartition(tasks) if tasks else df).write.parquet(path)
     return spark.read.parquet(path)
 
 
