@@ -106,6 +106,10 @@ def _raw_catalog(spark, sf):
     )
 
 
+def _dealt_catalog(spark, sf):
+    return materialise(_raw_catalog(spark, sf), tasks=spark.sparkContext.defaultParallelism)
+
+
 def _vector_items(spark, sf):
     """embeddings as items: the label is the type."""
     return _load(spark, sf, "embeddings").select(
@@ -269,7 +273,7 @@ def drop_fill(spark, sf):
 
 @query(f"WITH {_DOCS_SQL}, {_clean_sql()} SELECT item_id, name, description, embedding_text FROM cleaned")
 def clean_text(spark, sf):
-    return clean.clean_texts(_raw_catalog(spark, sf)).select("item_id", "name", "description", "embedding_text")
+    return clean.clean_texts(_dealt_catalog(spark, sf)).select("item_id", "name", "description", "embedding_text")
 
 
 _PART_RULES = [("Fastener", ["bolt", "rod", "ring"]), ("Machine", ["gear", "widget", "gizmo"]), ("Plate", ["plate"])]
@@ -306,7 +310,7 @@ SELECT count(*) AS total_items, count(DISTINCT item_type) AS unique_types, round
   round(avg(length(description)), 6) AS avg_description_length, round(avg(length(embedding_text)), 6) AS avg_embedding_text_length
 FROM cleaned""")
 def catalog_summary(spark, sf):
-    summary = clean.catalog_summary(clean.add_type(clean.clean_texts(_raw_catalog(spark, sf))))
+    summary = clean.catalog_summary(clean.add_type(clean.clean_texts(_dealt_catalog(spark, sf))))
     return summary.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else F.col(c) for c in summary.columns])
 
 
@@ -1135,7 +1139,7 @@ def log_analytics_rows(spark, sf):
 def _stored_logs(spark, sf):
     """Both logs after three batches, deletes after the first and the second, and a compaction before the last two steps."""
     found = _event_searches(spark, sf)
-    logs = log_store.day_logs(spark, new_folder(spark, "log"))
+    logs = log_store.day_logs(spark, new_folder(spark, "log"), 8)
     log_store.append_numbered(found.where("id % 3 = 0"), logs, 0)
     logs[0].clear(found.where("query_time_ms > 200").select("session_id"), 1)
     log_store.append_numbered(found.where("id % 3 = 1"), logs, 2)

@@ -87,9 +87,13 @@ def one_session(history: DataFrame, session_id: str, buckets: int = BUCKETS) ->
 
 
 def day_logs(spark: SparkSession, path: str, buckets: int = BUCKETS) -> tuple[DayLog, DayLog]:
-    """History and analytics below ``path`` as logs of numbered batches, with late deletes and compaction."""
+    """History and analytics below ``path`` as logs of numbered batches, with late deletes and compaction.
+
+    A compacted day of the history has a folder a bucket, so choose few for small logs.
+    Analytics are read by day and never by id, so they have one.
+    """
     history = DayLog(spark, f"{path}/history", schemas.SEARCH_HISTORY, "session_id", buckets=buckets)
-    return history, DayLog(spark, f"{path}/analytics", schemas.QUERY_ANALYTICS, "id", buckets=buckets)
+    return history, DayLog(spark, f"{path}/analytics", schemas.QUERY_ANALYTICS, "id", buckets=1)
 
 
 def append_numbered(searches: DataFrame, logs: tuple[DayLog, DayLog], number: int) -> None:
