@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 import string
 from collections import Counter
@@ -108,3 +110,37 @@ def test_mined_rules(spark):
     for k, (url, _) in enumerate(urls):
         block = bool(url) and "ads" in url and "/win/" in url and ".s0." not in url
         assert verdicts[k] == ("block" if block else "allow"), url
+
+
+def plain_tokens(url):
+    """Tokens of an URL without a query, digits as #."""
+    if not url or "://" not in url:
+        return frozenset()
+    host, *parts = re.sub("[0-9]+", "#", url.split("://", 1)[1]).split("/")
+    return frozenset([f"h:{x}" for x in host.lower().split(".") if x] + [f"p:{x}" for x in parts if x])
+
+
+@pytest.mark.parametrize("seed, support, confidence", [(1, 0.02, 0.7), (2, 0.01, 0.9), (3, 0.05, 0.6)])
+def test_mined_rules_and_matches_equal_brute_force(spark, seed, support, confidence):
+    rng = random.Random(seed)
+    url = lambda: f"http://{rng.choice('abc')}.{rng.choice('xyz')}{rng.randint(1, 99)}.net/{rng.choice(['win', 'read', 'go'])}/{rng.choice('pq')}"
+    labelled = [(u := url(), rng.random() < (0.9 if "win" in u and "//a" in u or "/q" in u and "x" in u else 0.2)) for _ in range(400)] + [(None, True), ("http://a", None)]
+    counted, bad = Counter(), Counter()
+    known = [(plain_tokens(u), b) for u, b in labelled if b is not None]
+    for tokens, is_bad in known:
+        for size in range(1, len(tokens) + 1):
+            for part in map(frozenset, itertools.combinations(sorted(tokens), size)):
+                counted[part] += 1
+                bad[part] += is_bad
+    sure = {s: bad[s] / n for s, n in counted.items() if bad[s] >= support * len(known) and bad[s] / n >= confidence}
+    want = {s: c for s, c in sure.items() if not any(less < s and sure[less] >= c for less in sure)}
+    mined = url_rules.mine_rules(spark.createDataFrame(labelled, "url string, bad boolean"), support, confidence)
+    found = {frozenset(r.tokens): r for r in mined.collect()}
+    assert set(found) == set(want) and want
+    for s, row in found.items():
+        assert row.confidence == pytest.approx(want[s]) and row.support == pytest.approx(bad[s] / len(known))
+    asked = [url() for _ in range(200)] + [None, "", "http://new.org/win"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    for row in url_rules.judge(pages, [], mined).collect():
+        fits = [c for s, c in want.items() if s <= plain_tokens(asked[row.page_id])]
+        assert row.verdict == ("block" if fits else "allow") and row.mined_confidence == (pytest.approx(max(fits)) if fits else None)
