@@ -31,6 +31,7 @@ from rankloom.plans.evaluation import evaluate_dense  # noqa: E402
 from rankloom.session import materialise, new_folder  # noqa: E402
 from rankloom.sources import export, tables  # noqa: E402
 from rankloom.sources import searchlog as log_store  # noqa: E402
+from rankloom.sources.frontier import SeenLinks  # noqa: E402
 from rankloom.sources.tables import items_from_lists  # noqa: E402
 
 # The stand-in encoder below travels to the tasks by value.
@@ -1300,6 +1301,18 @@ def new_links(spark, sf):
     return pages.new_link_counts(page_links(spark, sf))
 
 
+@query(f"""WITH {_links_sql('/')}, c AS (SELECT link, page_id, CAST(page_id % 2 AS INTEGER) AS crawl FROM links)
+SELECT link, crawl, min(page_id) AS first_page FROM c SEMI JOIN (SELECT link, min(crawl) AS crawl FROM c GROUP BY link) f USING (link, crawl)
+GROUP BY link, crawl""")
+def crawl_frontier(spark, sf):
+    """New links of two crawls, of the even and of the odd pages, against the stored ones."""
+    path = new_folder(spark, "links")
+    seen, links = SeenLinks(spark, path, "seen_" + path.rsplit("-", 1)[-1], 8), page_links(spark, sf)
+    for crawl in range(2):
+        seen.add(links.where(F.col("page_id") % 2 == crawl), crawl)
+    return seen.stored()
+
+
 @query(f"""WITH {_links_sql('e')} SELECT page_id, link FROM links
 WHERE page_id < coalesce((SELECT min(page_id) FROM arrays WHERE len(l) = 0), page_id + 1)""")
 def stop_rule(spark, sf):
