@@ -3,10 +3,14 @@
 Items are streamed as Arrow batches past a block of queries; each task keeps
 only the best ``k`` rows per query, so no (query, item) pair leaves a task
 unless it may still win. Queries within one block's bounds are broadcast, and the
-items are scanned where they lie. More are cut into blocks by hash, the items
-into slices, and blocks and slices meet in tasks by a shuffle; of such queries
+items are scanned where they lie. More are dealt into stacks of blocks by hash, the
+items into slices, and stacks and slices meet in tasks by a shuffle; of such queries
 nothing but their number and size reaches the driver.
 
+Most pairs of dense vectors are only looked at in single precision: what is below a
+query's k-th best so far by more than a bound of the error can't win. The others are
+scored in double precision, so the result is that of scoring all pairs so.
+
 Vectors are either a dense ``vector`` array or sparse ``indices`` / ``weights``
 arrays. Ranking uses the score to twelve significant digits, or to a fixed
 number of decimals if one is given, ties by ``item_id``, so it does not depend
@@ -15,6 +19,7 @@ on the order of floating-point sums. Scores that are not finite are an error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,9 +35,16 @@ from rankloom.session import shared_folder
 
 BLOCK_ROWS = 65536
 BLOCK_BYTES = 64 << 20
+# Queries of one task, where there are enough to fill several.
+STACK_ROWS = 16384
 SIGNIFICANT_BITS = 40
 _BLOCK_QUERIES = 256
 _CHUNK_ROWS = 4096
+_FIRST_ROWS = 1024
+# Beyond this share of a chunk, candidates are merged as a whole matrix.
+_FEW = 1 / 16
+# Squared lengths that single precision of the scaled vectors is good for.
+_SAFE = 1e-200, 1e200
 _CHUNK_PRODUCTS = 2 << 20
 _EMPTY = -np.inf
 _NO_ID = np.iinfo(np.int64).max
@@ -49,19 +61,53 @@ class _Dense:
         self.values = flat.reshape(self.rows, -1)
 
     def squares(self, rows):
-        values = self.values[rows]
-        return np.einsum("ij,ij->i", values, values)
+        return _squares(self.values[rows])
 
     def block(self, rows):
         return {"matrix": self.values[rows]}
 
     def chunks(self, rows, block):
-        return [rows[at : at + _CHUNK_ROWS] for at in range(0, len(rows), _CHUNK_ROWS)]
+        """Runs of rows, the first ones short, as they only give a first bound."""
+        out, at, step = [], 0, _FIRST_ROWS
+        while at < len(rows):
+            out.append(rows[at : at + step])
+            at, step = at + step, min(2 * step, _CHUNK_ROWS)
+        return out
 
     def products(self, rows, block):
         return block["matrix"] @ self.values[rows].T
 
 
+def _squares(values):
+    return np.einsum("ij,ij->i", values, values)
+
+
+class _Rough:
+    """Dense rows in single precision, scaled so that no product of two is above 1.
+
+    ``safe`` tells whether all are within the range that this is good for.
+    """
+
+    def __init__(self, values, metric, centre=None):
+        # Distances don't change with the origin, but their error does.
+        values = values if centre is None else values - centre
+        square = _squares(values)
+        zero = square == 0
+        self.safe = bool(((square >= _SAFE[0]) & (square <= _SAFE[1]) | zero).all()) and not values[zero].any()
+        self.rows = None
+        if not self.safe:
+            return
+        length = np.sqrt(square)
+        self.square, self.length = square, np.where(zero, 1.0, length)
+        # Lengths matter but for the cosine; here the longest is 1.
+        self.top = 1.0 if metric == "cosine" or not length.any() else float(length.max())
+        scaled = values / (self.length[:, None] if metric == "cosine" else self.top)
+        if metric == "l2":
+            # One more axis takes half the square off the product.
+            scaled = np.hstack([scaled, -0.5 * (square / self.top / self.top)[:, None]])
+        self.rows = scaled.astype(np.float32)
+
+
 class _Sparse:
     """Rows of sparse vectors; a block of queries is kept as postings by axis."""
 
@@ -131,15 +177,15 @@ def _vectors(table):
     return _Sparse(_plain(table.column("indices")), _plain(table.column("weights")))
 
 
-def query_blocks(table) -> list[dict]:
+def query_blocks(table, size: int = _BLOCK_QUERIES) -> list[dict]:
     """Cut a query table into blocks of one wanted type, as plain arrays."""
     vectors = _vectors(table)
     wanted = table.column("wanted").to_pylist()
     blocks = []
     for kind in sorted(set(wanted), key=lambda x: (x is not None, x or "")):
         members = np.flatnonzero([w == kind for w in wanted])
-        for at in range(0, len(members), _BLOCK_QUERIES):
-            rows = members[at : at + _BLOCK_QUERIES]
+        for at in range(0, len(members), size):
+            rows = members[at : at + size]
             blocks.append({"kind": kind, "rows": rows, "square": vectors.squares(rows), **vectors.block(rows)})
     return blocks
 
@@ -187,13 +233,40 @@ class _Best:
         self.ref = np.where(self.key == _EMPTY, -1, np.take_along_axis(ref, order, 1))
 
 
+    def take(self, query, score, item, ref):
+        """Take in the scores of some (query, item) pairs, a query's in ascending id order."""
+        key = rank_key(score, self.decimals)
+        least, last = self.key[query, -1], self.item[query, -1]
+        better = (key > least) | ((key == least) & (item < last))
+        if not better.any():
+            return
+        query, key, item, score, ref = (x[better] for x in (query, key, item, score, ref))
+        here = np.unique(query)
+        old = np.repeat(here, self.k)
+        query = np.concatenate([old, query])
+        columns = [np.concatenate([x[here].ravel(), y]) for x, y in ((self.key, key), (self.item, item), (self.score, score), (self.ref, ref))]
+        order = np.lexsort((columns[1], -columns[0], query))
+        # The first k of each query; it has k places at least.
+        first = np.searchsorted(query[order], here)
+        order = order[(first[:, None] + np.arange(self.k)).ravel()]
+        for mine, column in zip((self.key, self.item, self.score, self.ref), columns, strict=True):
+            mine[here] = column[order].reshape(-1, self.k)
+        self.ref[self.key == _EMPTY] = -1
+
+    def bound(self):
+        """What a score must reach at least to be among the best k; minus infinity where there aren't k yet."""
+        key = self.key[:, -1]
+        slack = 0.51 * 10.0**-self.decimals if self.decimals is not None else 0.0
+        return np.where(key == _EMPTY, _EMPTY, key - (np.abs(key) * 2.0 ** (2 - SIGNIFICANT_BITS) + slack))
+
+
 class Scorer:
     """Best items of every block over the batches given to ``add``."""
 
     @classmethod
-    def of(cls, table, k, metric, payload, decimals=None):
+    def of(cls, table, k, metric, payload, decimals=None, size=_BLOCK_QUERIES):
         """For a table of queries."""
-        return cls(query_blocks(table), _plain(table.column("query_id")), k, metric, payload, decimals)
+        return cls(query_blocks(table, size), _plain(table.column("query_id")), k, metric, payload, decimals)
 
     def __init__(self, blocks, query_ids, k, metric, payload, decimals=None):
         self.blocks = blocks
@@ -202,6 +275,80 @@ class Scorer:
         self.metric = metric
         self.payload = list(payload)
         self.kept = None
+        self.centre, self.rough = None, [None] * len(blocks)
+        if blocks and "matrix" in blocks[0]:
+            if metric == "l2":
+                self.centre = sum(b["matrix"].sum(axis=0) for b in blocks) / sum(len(b["matrix"]) for b in blocks)
+                self.centre = self.centre if np.isfinite(self.centre).all() else None
+            self.rough = [_Rough(b["matrix"], metric, self.centre) for b in blocks]
+
+    def _few(self, vectors, rows, block, best, asked, given, at):
+        """(query, place in rows) of all pairs that may be among the best k, or nothing where these are too many.
+
+        ``asked`` and ``given`` are the block and all items in single precision, ``at`` the chunk's place there.
+        """
+        items = given.rows[at : at + len(rows)]
+        width = items.shape[1]
+        error = (width + 8) * 2.0**-24
+        if self.metric == "l2":
+            ratio = given.top / asked.top
+            asked.rows[:, -1] = ratio
+            error = error * (1 + ratio / 2) + width * 2.0**-50 * (ratio + 1 / ratio)
+            scale = 2 * asked.top * given.top
+        elif self.metric == "dot":
+            scale = asked.top * given.top
+        else:
+            scale = 1.0
+        if not (np.isfinite(error) and 1e-250 < scale < 1e250):
+            return None
+        rough = asked.rows @ items.T
+        need = best.bound()
+        if self.metric == "l2":
+            need = need + asked.square
+        need = need / scale - error
+        if len(rows) > best.k and (best.key[:, -1] == _EMPTY).any():
+            # Rough scores of k items here are above this, and ties by rounding are below it at most by so much.
+            least = np.partition(rough, len(rows) - best.k, axis=1)[:, len(rows) - best.k].astype(float)
+            slack = 2.0**-36 + (0.0 if best.decimals is None else 1.02 * 10.0**-best.decimals / scale)
+            need = np.maximum(need, least - 2 * error - slack)
+        need = np.nextafter(need.astype(np.float32), np.float32(-np.inf))
+        found = np.flatnonzero(rough >= need[:, None])
+        return np.divmod(found, len(rows)) if len(found) <= rough.size * _FEW else None
+
+    def _exact(self, vectors, rows, block, query, place, square):
+        """Scores in double precision of some pairs; ``square`` are the items' squared lengths."""
+        score, step = np.empty(len(query)), max(1, _CHUNK_PRODUCTS // max(1, block["matrix"].shape[1]))
+        for at in range(0, len(query), step):
+            q, i = query[at : at + step], place[at : at + step]
+            one, other = block["matrix"][q], vectors.values[rows[i]]
+            if self.metric == "l2":
+                score[at : at + step] = -_squares(one - other)
+                continue
+            product = np.einsum("ij,ij->i", one, other)
+            if self.metric == "cosine":
+                norm = np.sqrt(block["square"][q]) * np.sqrt(square[i])
+                product = product / np.where(norm == 0, 1.0, norm)
+            score[at : at + step] = product
+        if not np.isfinite(score).all():
+            raise ValueError("vectors must give finite scores")
+        return score
+
+    def _merge(self, vectors, rows, block, best, asked, given, at, ids, base):
+        """Take in one chunk of items."""
+        if given is not None and given.safe and asked.safe:
+            few = self._few(vectors, rows, block, best, asked, given, at)
+            if few is not None:
+                query, place = few
+                best.take(query, self._exact(vectors, rows, block, query, place, given.square[at:]), ids[rows[place]], rows[place] + base)
+                return
+        score = self._score(vectors, rows, block, best)
+        if given is None:
+            found = np.flatnonzero(score >= best.bound()[:, None])
+            if len(found) <= score.size * _FEW:
+                query, place = np.divmod(found, len(rows))
+                best.take(query, score[query, place], ids[rows[place]], rows[place] + base)
+                return
+        best.merge(score, ids[rows], rows + base)
 
     def _score(self, vectors, rows, block, best):
         product = vectors.products(rows, block)
@@ -255,10 +402,17 @@ class Scorer:
             kinds = np.asarray(batch.column("kind").to_pylist(), dtype=object)
         own = pa.table({c: _plain(batch.column(c)) for c in self.payload}) if self.payload else None
         base = 0 if self.kept is None else self.kept.num_rows
-        for block, best in zip(self.blocks, self.best):
-            rows = by_id if block["kind"] is None else by_id[kinds[by_id] == block["kind"]]
+        parts = {}
+        for block, best, asked in zip(self.blocks, self.best, self.rough):
+            if block["kind"] not in parts:
+                rows = by_id if block["kind"] is None else by_id[kinds[by_id] == block["kind"]]
+                given = None if asked is None else _Rough(vectors.values[rows], self.metric, self.centre)
+                parts[block["kind"]] = rows, given
+            rows, given = parts[block["kind"]]
+            at = 0
             for chunk in vectors.chunks(rows, block):
-                best.merge(self._score(vectors, chunk, block, best), ids[chunk], chunk + base)
+                self._merge(vectors, chunk, block, best, asked, given, at, ids, base)
+                at += len(chunk)
         if own is not None:
             self._compact(own)
 
@@ -341,7 +495,9 @@ def nearest(
     applies before the cut. ``metric``: cosine, dot, or l2 (score is minus the
     squared distance, computed from differences). Every item is a candidate, one
     scoring zero included. Scores rank as they are, to twelve significant digits,
-    or rounded to ``decimals``.
+    or rounded to ``decimals``. Of ``block_rows`` queries, or 4,096 if it is more,
+    all are broadcast; so many are scored at a time, while ``block_bytes`` bounds
+    the queries that a task holds.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -356,7 +512,7 @@ def nearest(
     schema = winners(left, right, payload)
     head = _small_table(right, block_rows, block_bytes)
     if head is not None:
-        found = _by_broadcast(left, head, k, metric, payload, schema, decimals)
+        found = _by_broadcast(left, head, k, metric, payload, schema, decimals, min(_BLOCK_QUERIES, block_rows))
     else:
         found = _by_grid(left, right, k, metric, payload, schema, decimals, block_rows, block_bytes)
     best = [F.col("score_key").desc(), F.col("item_id").asc()]
@@ -379,25 +535,27 @@ def _small_table(queries: DataFrame, rows: int, size: int):
 
 
 def _by_grid(items, queries, k, metric, payload, schema, decimals, rows, size):
-    """Every block of queries meets every slice of the items in a task of its own.
+    """Every stack of blocks of queries meets every slice of the items in a task of its own.
 
-    Queries are copied once per slice and items once per block, so the blocks are
-    as large as the bounds allow, and there are only as many slices as give every
-    task of a shuffle work.
+    Queries are copied once per slice and items once per stack, not per block. A
+    stack holds ``STACK_ROWS`` queries or, where these would be more stacks than
+    balance both kinds of copies, more of them, within the bounds of a task; there
+    are only as many slices as give every task of a shuffle work.
     """
     shared_folder(queries.sparkSession)
     queries = queries.checkpoint()
     n, total = extent(queries).first()
-    blocks = max(1, -(-n // rows), -(-total // size))
     width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, -(-width // blocks))
+    stacks = max(1, -(-n // BLOCK_ROWS), -(-total // size), min(-(-n // STACK_ROWS), math.isqrt(3 * width) + 1))
+    slices = max(1, -(-width // stacks))
     asked = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), each(slices).alias("slice"), F.struct("*").alias("query")
+        F.pmod(F.xxhash64("query_id"), F.lit(stacks)).cast("int").alias("stack"), each(slices).alias("slice"), F.struct("*").alias("query")
     )
     given = items.select(
-        each(blocks).alias("block"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("slice"), F.struct("*").alias("item")
+        each(stacks).alias("stack"), F.pmod(F.xxhash64("item_id"), F.lit(slices)).cast("int").alias("slice"), F.struct("*").alias("item")
     )
-    return score_cells(asked, given, ["block", "slice"], schema, lambda table: Scorer.of(table, k, metric, payload, decimals))
+    block = min(_BLOCK_QUERIES, rows)
+    return score_cells(asked, given, ["stack", "slice"], schema, lambda table: Scorer.of(table, k, metric, payload, decimals, block))
 
 
 def each(n: int):
@@ -444,10 +602,10 @@ def score_cells(asked, given, cell, schema, scorer_of):
     return met.mapInArrow(score, schema)
 
 
-def _by_broadcast(items, head, k, metric, payload, schema, decimals):
+def _by_broadcast(items, head, k, metric, payload, schema, decimals, size):
     spark = items.sparkSession
     shared = spark.sparkContext.broadcast(
-        {"blocks": query_blocks(head), "ids": _plain(head.column("query_id"))}
+        {"blocks": query_blocks(head, size), "ids": _plain(head.column("query_id"))}
     )
 
     def score(batches):

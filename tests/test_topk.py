@@ -299,3 +299,65 @@ def test_sparse_queries_in_many_blocks(spark):
     asked = items.select(F.col("item_id").alias("query_id"), "indices", "weights")
     few, many = (nearest(items, asked, 5, "dot", payload=["name"], decimals=6, block_rows=n) for n in (1000, 13))
     assert ranked(few) == ranked(many)
+
+
+def _random_items(spark, vectors):
+    return spark.createDataFrame([(k, [float(x) for x in v], f"n{k}") for k, v in enumerate(vectors)], "item_id long, vector array<double>, name string")
+
+
+@pytest.mark.parametrize("stack", [16384, 30])
+def test_items_are_copied_once_a_stack_and_not_once_a_block(spark, monkeypatch, stack):
+    from rankloom.operators import topk
+
+    copies, score_cells = [], topk.score_cells
+    monkeypatch.setattr(topk, "STACK_ROWS", stack)
+    monkeypatch.setattr(topk, "score_cells", lambda asked, given, *a: copies.append(given.count()) or score_cells(asked, given, *a))
+    items = _random_items(spark, np.random.default_rng(5).normal(size=(200, 4)))
+    asked = items.select(F.col("item_id").alias("query_id"), "vector")
+    found = nearest(items, asked, 3, block_rows=5, decimals=6)
+    # Of 40 blocks of five queries: one stack, or as many as balance the copies.
+    assert copies == [200 if stack > 200 else 800]
+    few = nearest(items, asked, 3, decimals=6)
+    rounded = ["query_id", "item_id", F.round("score", 6), "rank"]
+    assert sorted(found.select(*rounded).collect()) == sorted(few.select(*rounded).collect())
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+@pytest.mark.parametrize("scale, offset, decimals", [(1.0, 0.0, 6), (1e7, 0.0, None), (1e-5, 0.0, None), (1.0, 1e5, None), (1.0, 0.0, 1)])
+def test_few_pairs_are_scored_in_full(monkeypatch, metric, scale, offset, decimals):
+    import pyarrow as pa
+
+    from rankloom.operators import topk
+
+    scored, rank_key = [], topk.rank_key
+    monkeypatch.setattr(topk, "rank_key", lambda score, d: scored.append(np.size(score)) or rank_key(score, d))
+    rng = np.random.default_rng(6)
+    values = offset + scale * rng.normal(size=(12_000, 16))
+    values[100:140] = values[7]
+    values[9000] = 0
+    ids = rng.permutation(12_000)
+    lists = pa.array(list(values), pa.list_(pa.float64()))
+    asked = pa.table({"query_id": ids[:300], "vector": lists.slice(0, 300), "wanted": pa.nulls(300, pa.string())})
+    scorer = topk.Scorer.of(asked, 7, metric, [], decimals)
+    for at in range(0, 12_000, 4000):
+        scorer.add(pa.record_batch({"item_id": ids[at : at + 4000], "vector": lists.slice(at, 4000)}))
+    pairs = sum(scored)
+    found = sorted((r["query_id"], -r["score_key"], r["item_id"]) for table in scorer.result() for r in table.to_pylist())
+    wanted = []
+    length = np.sqrt((values**2).sum(axis=1))
+    for q in range(300):
+        if metric == "l2":
+            score = -((values - values[q]) ** 2).sum(axis=1)
+        else:
+            score = values @ values[q]
+            if metric == "cosine":
+                norm = length * length[q]
+                score = score / np.where(norm == 0, 1.0, norm)
+        key = rank_key(score, decimals)
+        order = np.lexsort((ids, -key))[:7]
+        wanted += [(ids[q], -key[i], ids[i]) for i in order]
+    wanted.sort()
+    assert [(q, i) for q, _, i in found] == [(q, i) for q, _, i in wanted]
+    assert np.allclose([k for _, k, _ in found], [k for _, k, _ in wanted], rtol=1e-9, atol=1e-12)
+    if offset == 0 and decimals != 1:
+        assert pairs < 0.1 * 300 * 12_000
