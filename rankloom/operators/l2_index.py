@@ -10,9 +10,13 @@ of a scan.
 
 Centroids are those of a sample of at most ``SAMPLE`` vectors, whose quality
 decides how many cells are skipped, never what is found. There are at most
-``MOST_CELLS``, so the centroids and the list of cells to be read are small. A
-cell of more than ``SLICE_ROWS`` items is searched by slices, and more than
-``BLOCK_ROWS`` queries of one cell by blocks, each in a task of its own.
+``MOST_CELLS``, so the centroids and the list of cells to be read are small. For a
+search, cells are put on shelves, as many as give every task of a shuffle work; a
+cell of more than ``SLICE_ROWS`` items may lie on several. A query is sent once to
+each shelf that holds a cell of its choice, with the list of its cells as bits, so
+vectors without clusters, of which most cells are read, aren't copied once a cell.
+More than ``BLOCK_ROWS`` queries of one shelf are searched by blocks, each in a task
+of its own.
 
 Items without a vector are left out; equal distances go by item id. An index of
 no items finds nothing.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankloom.operators.rank import top_rows
-from rankloom.operators.topk import Scorer, score_cells, winners
+from rankloom.operators.topk import Scorer, query_blocks, score_cells, stacks_of, winners
 from rankloom.session import materialise
 
 SAMPLE, MOST_CELLS, SLICE_ROWS, BLOCK_ROWS = 20_000, 1024, 65_536, 65_536
@@ -83,7 +87,7 @@ def build(items: DataFrame, path: str, cells: int | None = None, seed: int = 42)
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("vector"))
-            cell = _squares(x, shared.value).argmin(axis=1)
+            cell = np.concatenate([_squares(x[at : at + 1024], shared.value).argmin(axis=1) for at in range(0, len(x), 1024)])
             apart = np.sqrt(((x - shared.value[cell]) ** 2).sum(axis=1))
             if not np.isfinite(apart).all():
                 raise ValueError("vectors must give finite distances")
@@ -115,10 +119,10 @@ class L2Index:
         return cls(spark, path, known)
 
     def _choose(self, queries: DataFrame, k: int, decimals: int | None) -> DataFrame:
-        """``queries`` with ``chosen``, the cells to be read: the nearest ones, or, given a ``bound``, the others within it."""
+        """``queries`` with ``chosen``, the cells to be read as bits: the nearest ones, or, given a ``bound``, the others within it."""
         shared = self.spark.sparkContext.broadcast(self.cells)
         bounded = "bound" in queries.columns
-        schema = T.StructType([*queries.schema, T.StructField("chosen", T.ArrayType(T.IntegerType()))])
+        schema = T.StructType([*queries.schema, T.StructField("chosen", T.BinaryType()), T.StructField("n_chosen", T.IntegerType())])
         slack = 0.0 if decimals is None else 10.0**-decimals
 
         def run(batches):
@@ -126,40 +130,92 @@ class L2Index:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x, chosen = _matrix(batch.column("vector")), []
+                x = _matrix(batch.column("vector"))
+                chosen = np.zeros((len(x), len(cells["cell"])), bool)
                 bounds = batch.column("bound").to_numpy(zero_copy_only=False) if bounded else np.zeros(len(x))
-                for row, bound in zip(x, bounds, strict=True):
+                for mine, row, bound in zip(chosen, x, bounds, strict=True):
                     apart = np.sqrt(((cells["centre"] - row) ** 2).sum(axis=1))
                     order = np.argsort(apart, kind="stable")
                     first = int(np.searchsorted(np.cumsum(cells["n"][order]), k)) + 1
                     if bounded:
                         rest = order[first:]
                         least = np.maximum(0, apart[rest] - cells["radius"][rest] - _SLACK * (apart[rest] + cells["radius"][rest]))
-                        chosen.append(cells["cell"][rest[least**2 <= bound * (1 + _SLACK) + slack]])
+                        mine[rest[least**2 <= bound * (1 + _SLACK) + slack]] = True
                     else:
-                        chosen.append(cells["cell"][order[:first]])
-                made = pa.array([c.tolist() for c in chosen], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], schema.names)
+                        mine[order[:first]] = True
+                bits = np.packbits(chosen, axis=1)
+                made = pa.array([row.tobytes() for row in bits], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, made, pa.array(chosen.sum(axis=1), pa.int32())], schema.names)
 
         return queries.mapInArrow(run, schema)
 
+    def _shelves(self, wanted: int) -> list[tuple[int, int, int, int]]:
+        """(place of the cell, cell, slice, shelf): all cells in order on about ``wanted`` shelves of like numbers of items."""
+        units = [(at, int(c), s, n / k) for at, (c, n, k) in enumerate(zip(self.cells["cell"], self.cells["n"], self.cells["slices"], strict=True)) for s in range(k)]
+        size = sum(u[3] for u in units) / wanted
+        before = np.cumsum([0.0] + [u[3] for u in units])
+        return [(at, c, s, min(wanted - 1, int(x / size))) for (at, c, s, _), x in zip(units, before[:-1], strict=True)]
+
     def _found(self, chosen: DataFrame, k: int, payload, decimals: int | None) -> DataFrame:
-        """The best k items of every query in each of its chosen cells."""
-        pairs = chosen.select("query_id", F.explode("chosen").alias("cell"))
-        asked = {r["cell"]: r["n"] for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a cell
-        sizes = [(int(c), int(s), -(-asked[c] // BLOCK_ROWS)) for c, s in zip(self.cells["cell"], self.cells["slices"], strict=True) if c in asked]
-        shape = F.broadcast(self.spark.createDataFrame(sizes, "cell int, slices int, blocks int"))
-        items = self.spark.read.parquet(f"{self.path}/items").where(F.col("cell").isin([c for c, _, _ in sizes]))
-        items = items.select("item_id", "vector", *payload, "cell", "slice")
-        right = chosen.select("query_id", "vector", F.lit(None).cast("string").alias("wanted"), "chosen")
-        right = right.select(F.struct("query_id", "vector", "wanted").alias("query"), F.explode("chosen").alias("cell")).join(shape, "cell")
-        each = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-        right = right.select("cell", each.alias("slice"), F.pmod(F.xxhash64("query.query_id"), "blocks").cast("int").alias("block"), "query")
-        left = items.join(shape.select("cell", "blocks"), "cell")
+        """The best k items of every query in each shelf that holds one of its chosen cells."""
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        units, many = self._shelves(max(1, -(-width // stacks_of(chosen.count(), width)))), len(self.cells["cell"])
+        holds = np.zeros((many, units[-1][3] + 1), np.float32)
+        for at, _, _, shelf in units:
+            holds[at, shelf] = 1
+        shared = self.spark.sparkContext.broadcast(holds)
+
+        def opened(batch):
+            bits = np.frombuffer(b"".join(batch.column("chosen").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            return np.unpackbits(bits, axis=1, count=many)
+
+        def count(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    bits = opened(batch)
+                    n = np.concatenate([bits.sum(axis=0, dtype=np.int64), (bits @ shared.value > 0).sum(axis=0)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["place", "n"])
+
+        def deal(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    query, shelf = np.nonzero(opened(batch) @ shared.value > 0)
+                    at = np.searchsorted(query, np.arange(batch.num_rows + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shelf, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "shelves"])
+
+        # One row a cell and one a shelf.
+        counted = chosen.select("chosen").mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+        asked = {r["place"]: r["n"] for r in counted if r["n"]}
+        blocks = {shelf: stacks_of(asked[many + shelf], width, BLOCK_ROWS) for shelf in range(holds.shape[1]) if many + shelf in asked}
+        read = [(at, c, s, shelf, blocks[shelf]) for at, c, s, shelf in units if at in asked]
+        place = F.broadcast(self.spark.createDataFrame(read, "place int, cell int, slice int, shelf int, blocks int"))
+        items = self.spark.read.parquet(f"{self.path}/items").where(F.col("cell").isin(sorted({c for _, c, *_ in read})))
         each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = left.select("cell", "slice", each.alias("block"), F.struct("item_id", "vector", *payload).alias("item"))
-        schema = winners(items, chosen, payload)
-        return score_cells(right, left, ["cell", "slice", "block"], schema, lambda table: Scorer.of(table, k, "l2", list(payload), decimals))
+        left = items.select("item_id", "vector", *payload, "cell", "slice").join(place, ["cell", "slice"])
+        left = left.select("shelf", each.alias("block"), F.struct("item_id", "vector", *payload, F.col("place").alias("cell")).alias("item"))
+        bound = F.col("bound") if "bound" in chosen.columns else F.lit(None).cast("double").alias("bound")
+        right = chosen.select("query_id", "vector", F.lit(None).cast("string").alias("wanted"), "chosen", bound)
+        schema = T.StructType([*right.schema, T.StructField("shelves", T.ArrayType(T.IntegerType()))])
+        right = right.mapInArrow(deal, schema).select("*", F.explode("shelves").alias("shelf")).select("shelf", F.struct(*right.columns, "shelf").alias("query"))
+        shape = F.broadcast(self.spark.createDataFrame(list(blocks.items()), "shelf int, blocks int"))
+        right = right.join(shape, "shelf").select("shelf", F.pmod(F.xxhash64("query.query_id"), "blocks").cast("int").alias("block"), "query")
+
+        def scorer(table):
+            # Queries of like choices share a block, of which a cell that none has chosen isn't scored.
+            bits = opened(table)
+            mine = holds[:, table.column("shelf")[0].as_py()] > 0
+            order = np.lexsort(np.packbits(bits[:, mine], axis=1).T[::-1])
+            table, bits = table.take(pa.array(order)), bits[order].astype(bool)
+            bounds = table.column("bound").to_numpy()
+            slack = 0.0 if decimals is None else 10.0**-decimals
+            floor = np.where(np.isnan(bounds), -np.inf, -bounds * (1 + _SLACK) - slack)
+            queries = query_blocks(table)
+            for block in queries:
+                block |= {"allowed": bits[block["rows"]], "floor": floor[block["rows"]]}
+            return Scorer(queries, table.column("query_id").combine_chunks(), k, "l2", list(payload), decimals)
+
+        return score_cells(right, left, ["shelf", "block"], winners(items, chosen, payload), scorer)
 
     def _two_steps(self, queries: DataFrame, k: int, payload, decimals: int | None):
         """(winners of the first cells, queries with their other cells, queries with their first cells)."""
@@ -168,7 +224,7 @@ class L2Index:
         found = materialise(top_rows(self._found(first, k, payload, decimals), ["query_id"], best, k).drop("rank"))
         bound = found.groupBy("query_id").agg(F.count("*").alias("n"), (-F.min("score")).alias("bound"))
         # Fewer than k rows mean that the first cells were all there are.
-        bounded = first.drop("chosen").join(bound.where(F.col("n") >= k).drop("n"), "query_id")
+        bounded = first.drop("chosen", "n_chosen").join(bound.where(F.col("n") >= k).drop("n"), "query_id")
         return found, materialise(self._choose(bounded, k, decimals)), first
 
     def search(self, queries: DataFrame, k: int, payload=(), decimals: int | None = None) -> DataFrame:
@@ -186,5 +242,5 @@ class L2Index:
     def cells_read(self, queries: DataFrame, k: int, decimals: int | None = None) -> DataFrame:
         """(query_id, cells_read, cells): how much of the index a search of these queries reads."""
         _, rest, first = self._two_steps(queries, k, (), decimals)
-        read = first.unionByName(rest.drop("bound")).groupBy("query_id").agg(F.sum(F.size("chosen")).cast("int").alias("cells_read"))
+        read = first.unionByName(rest.drop("bound")).groupBy("query_id").agg(F.sum("n_chosen").cast("int").alias("cells_read"))
         return read.withColumn("cells", F.lit(len(self.cells["cell"])))

@@ -19,6 +19,7 @@ on the order of floating-point sums. Scores that are not finite are an error.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Sequence
 
@@ -107,6 +108,13 @@ class _Rough:
             scaled = np.hstack([scaled, -0.5 * (square / self.top / self.top)[:, None]])
         self.rows = scaled.astype(np.float32)
 
+    def only(self, which):
+        """Some of the rows."""
+        other = copy.copy(self)
+        if self.safe:
+            other.rows, other.square = self.rows[which], self.square[which]
+        return other
+
 
 class _Sparse:
     """Rows of sparse vectors; a block of queries is kept as postings by axis."""
@@ -202,8 +210,10 @@ def rank_key(score, decimals):
 class _Best:
     """The running best k of each query of one block; free places have the key minus infinity."""
 
-    def __init__(self, queries, k, decimals):
+    def __init__(self, queries, k, decimals, floor=None):
         self.k = k
+        # Scores below this are known not to be among the best.
+        self.floor = _EMPTY if floor is None else floor
         self.decimals = decimals
         self.key = np.full((queries, k), _EMPTY)
         self.item = np.full((queries, k), _NO_ID)
@@ -257,11 +267,15 @@ class _Best:
         """What a score must reach at least to be among the best k; minus infinity where there aren't k yet."""
         key = self.key[:, -1]
         slack = 0.51 * 10.0**-self.decimals if self.decimals is not None else 0.0
-        return np.where(key == _EMPTY, _EMPTY, key - (np.abs(key) * 2.0 ** (2 - SIGNIFICANT_BITS) + slack))
+        return np.maximum(self.floor, np.where(key == _EMPTY, _EMPTY, key - (np.abs(key) * 2.0 ** (2 - SIGNIFICANT_BITS) + slack)))
 
 
 class Scorer:
-    """Best items of every block over the batches given to ``add``."""
+    """Best items of every block over the batches given to ``add``.
+
+    A block may hold ``allowed`` (queries x cells); then items have a ``cell``, and
+    a query meets the items of its cells. It may hold a ``floor`` for each score.
+    """
 
     @classmethod
     def of(cls, table, k, metric, payload, decimals=None, size=_BLOCK_QUERIES):
@@ -271,7 +285,7 @@ class Scorer:
     def __init__(self, blocks, query_ids, k, metric, payload, decimals=None):
         self.blocks = blocks
         self.query_ids = query_ids
-        self.best = [_Best(len(b["rows"]), k, decimals) for b in blocks]
+        self.best = [_Best(len(b["rows"]), k, decimals, b.get("floor")) for b in blocks]
         self.metric = metric
         self.payload = list(payload)
         self.kept = None
@@ -282,7 +296,7 @@ class Scorer:
                 self.centre = self.centre if np.isfinite(self.centre).all() else None
             self.rough = [_Rough(b["matrix"], metric, self.centre) for b in blocks]
 
-    def _few(self, vectors, rows, block, best, asked, given, at):
+    def _few(self, vectors, rows, block, best, asked, given, at, allowed):
         """(query, place in rows) of all pairs that may be among the best k, or nothing where these are too many.
 
         ``asked`` and ``given`` are the block and all items in single precision, ``at`` the chunk's place there.
@@ -306,7 +320,11 @@ class Scorer:
         if self.metric == "l2":
             need = need + asked.square
         need = need / scale - error
-        if len(rows) > best.k and (best.key[:, -1] == _EMPTY).any():
+        if allowed is not None and (need == _EMPTY).any():
+            # Other pairs give no bound; without one they are left out here.
+            rough[~allowed()] = _EMPTY
+            need = np.maximum(need, -1e38)
+        if len(rows) > best.k and (need <= -1e38).any():
             # Rough scores of k items here are above this, and ties by rounding are below it at most by so much.
             least = np.partition(rough, len(rows) - best.k, axis=1)[:, len(rows) - best.k].astype(float)
             slack = 2.0**-36 + (0.0 if best.decimals is None else 1.02 * 10.0**-best.decimals / scale)
@@ -333,15 +351,19 @@ class Scorer:
             raise ValueError("vectors must give finite scores")
         return score
 
-    def _merge(self, vectors, rows, block, best, asked, given, at, ids, base):
+    def _merge(self, vectors, rows, block, best, asked, given, at, ids, base, cells):
         """Take in one chunk of items."""
+        allowed = None if cells is None else lambda: block["allowed"][:, cells[rows]]
         if given is not None and given.safe and asked.safe:
-            few = self._few(vectors, rows, block, best, asked, given, at)
+            few = self._few(vectors, rows, block, best, asked, given, at, allowed)
             if few is not None:
                 query, place = few
+                if cells is not None:
+                    met = block["allowed"][query, cells[rows[place]]]
+                    query, place = query[met], place[met]
                 best.take(query, self._exact(vectors, rows, block, query, place, given.square[at:]), ids[rows[place]], rows[place] + base)
                 return
-        score = self._score(vectors, rows, block, best)
+        score = self._score(vectors, rows, block, best, allowed)
         if given is None:
             found = np.flatnonzero(score >= best.bound()[:, None])
             if len(found) <= score.size * _FEW:
@@ -350,10 +372,10 @@ class Scorer:
                 return
         best.merge(score, ids[rows], rows + base)
 
-    def _score(self, vectors, rows, block, best):
+    def _score(self, vectors, rows, block, best, allowed=None):
         product = vectors.products(rows, block)
         if self.metric == "l2":
-            score = self._minus_distances(vectors, rows, block, best, product)
+            score = self._minus_distances(vectors, rows, block, best, product, allowed)
         elif self.metric == "dot":
             score = product
         else:
@@ -363,7 +385,7 @@ class Scorer:
             raise ValueError("vectors must give finite scores")
         return score
 
-    def _minus_distances(self, vectors, rows, block, best, product):
+    def _minus_distances(self, vectors, rows, block, best, product, allowed):
         """Squared distances of all that may be among the best k, from differences; others are no candidates.
 
         The product form gives each distance up to a bound of its error; what is
@@ -376,13 +398,15 @@ class Scorer:
             raise ValueError("vectors must give finite scores")
         error = square * (4 * (block["matrix"].shape[1] + 4) * np.finfo(float).eps)
         rough = square - 2.0 * product
+        if allowed is not None:
+            rough[~allowed()] = np.inf
         worst = rough + error
         k = best.k
         limit = np.partition(worst, k - 1, axis=1)[:, k - 1] if worst.shape[1] > k else np.full(len(worst), np.inf)
         limit = np.minimum(limit, np.where(best.key[:, -1] == _EMPTY, np.inf, -best.score[:, -1]))
         # Room for what only rounding sets apart.
         limit = limit * (1 + 1e-9) + (0.0 if best.decimals is None else 10.0**-best.decimals)
-        query, item = np.nonzero(rough - error <= limit[:, None])
+        query, item = np.nonzero((rough - error <= limit[:, None]) & (rough < np.inf))
         score = np.full(rough.shape, _EMPTY)
         step = max(1, _CHUNK_PRODUCTS // max(1, block["matrix"].shape[1]))
         for at in range(0, len(query), step):
@@ -402,16 +426,20 @@ class Scorer:
             kinds = np.asarray(batch.column("kind").to_pylist(), dtype=object)
         own = pa.table({c: _plain(batch.column(c)) for c in self.payload}) if self.payload else None
         base = 0 if self.kept is None else self.kept.num_rows
-        parts = {}
+        parts, cells = {}, batch.column("cell").to_numpy(zero_copy_only=False) if "cell" in batch.schema.names else None
         for block, best, asked in zip(self.blocks, self.best, self.rough):
             if block["kind"] not in parts:
                 rows = by_id if block["kind"] is None else by_id[kinds[by_id] == block["kind"]]
                 given = None if asked is None else _Rough(vectors.values[rows], self.metric, self.centre)
                 parts[block["kind"]] = rows, given
             rows, given = parts[block["kind"]]
+            if cells is not None:
+                met = block["allowed"].any(axis=0)[cells[rows]]
+                if not met.all():
+                    rows, given = rows[met], given.only(met)
             at = 0
             for chunk in vectors.chunks(rows, block):
-                self._merge(vectors, chunk, block, best, asked, given, at, ids, base)
+                self._merge(vectors, chunk, block, best, asked, given, at, ids, base, cells)
                 at += len(chunk)
         if own is not None:
             self._compact(own)
@@ -546,7 +574,7 @@ def _by_grid(items, queries, k, metric, payload, schema, decimals, rows, size):
     queries = queries.checkpoint()
     n, total = extent(queries).first()
     width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stacks = max(1, -(-n // BLOCK_ROWS), -(-total // size), min(-(-n // STACK_ROWS), math.isqrt(3 * width) + 1))
+    stacks = max(stacks_of(n, width), -(-total // size))
     slices = max(1, -(-width // stacks))
     asked = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(stacks)).cast("int").alias("stack"), each(slices).alias("slice"), F.struct("*").alias("query")
@@ -558,6 +586,11 @@ def _by_grid(items, queries, k, metric, payload, schema, decimals, rows, size):
     return score_cells(asked, given, ["stack", "slice"], schema, lambda table: Scorer.of(table, k, metric, payload, decimals, block))
 
 
+def stacks_of(n: int, width: int, most: int = BLOCK_ROWS) -> int:
+    """How many tasks share ``n`` queries, in a shuffle of ``width`` partitions: none holds over ``most``."""
+    return max(1, -(-n // most), min(-(-n // STACK_ROWS), math.isqrt(3 * width) + 1))
+
+
 def each(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 

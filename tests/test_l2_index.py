@@ -62,3 +62,17 @@ def test_empty_tables(spark, tmp_path):
     assert l2_index.L2Index.load(spark, str(tmp_path / "none")).search(asked(items), 3).count() == 0
     with pytest.raises(ValueError):
         l2_index.build(items, str(tmp_path / "bad"), cells=0)
+
+
+def test_queries_are_copied_once_a_shelf_and_not_once_a_cell(spark, tmp_path, monkeypatch):
+    copies, score_cells = [], l2_index.score_cells
+    monkeypatch.setattr(l2_index, "score_cells", lambda asked, given, *a: copies.append((asked.count(), given.count())) or score_cells(asked, given, *a))
+    # Without clusters nearly all of the 40 cells are read.
+    items = items_of(spark, np.random.default_rng(4).normal(size=(300, 12)))
+    l2_index.build(items, str(tmp_path / "i"), cells=40)
+    index = l2_index.L2Index.load(spark, str(tmp_path / "i"))
+    assert rows(index.search(asked(items), 5)) == rows(l2_nearest(items, asked(items), 5))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(copies) == 2 and all(a <= 300 * width and g <= 300 for a, g in copies)
+    read = index.cells_read(asked(items), 5).agg(F.avg("cells_read")).first()[0]
+    assert read > 30
