@@ -117,3 +117,22 @@ def test_links_resolve_as_in_a_browser(spark, tag, link):
     frame = spark.createDataFrame([(1, tag)], "page_id long, html string")
     found = pages.page_links(pages.link_arrays(frame, "/view/", "https://s.test")).collect()
     assert [r.link for r in found] == ["https://s.test" + link]
+
+
+def test_few_pages_of_a_batch_are_strings_at_a_time():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from rankloom.functions import html
+
+    class Frame:
+        schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [None if n % 50 == 7 else f"<title>t{n}</title><h1>h{n}</h1>" for n in range(1000)]
+    made = list(html.read_pages(Frame())(iter([pa.record_batch({"page_id": list(range(1000)), "html": texts})])))
+    assert max(b.num_rows for b in made) <= html.PAGE_ROWS
+    rows = pa.Table.from_batches(made).to_pylist()
+    assert [(r["page_id"], r["h1"], r["title"]) for r in rows] == [(n, f"h{n}", f"t{n}") for n in range(1000) if n % 50 != 7]
