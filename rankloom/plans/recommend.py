@@ -78,7 +78,9 @@ def answer(
         primary = rk.with_fallback(primary, _spare(dense[0], vectors, decimals), failed)
     else:
         primary = primary.withColumn("method", F.lit("rag"))
-    # One row per distinct request joins each of its repeats; lists open after.
+    # Written, as results and log rows are made of it: one row per distinct request
+    # with its list. It joins each of its repeats; lists open after.
+    primary = materialise(primary)
     tagged = rk.attach_representative(requests, distinct)
     return tagged.join(primary, "query_id", "left").withColumn(
         "method", F.when(F.col("cached"), F.lit("cached")).otherwise(F.coalesce("method", missing))
@@ -93,9 +95,12 @@ def _spare(items: DataFrame, vectors: DataFrame, decimals: int | None) -> DataFr
     the driver.
     """
     size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest("k", F.lit(1))))).cast("int")
-    sized = vectors.withColumn("_size", size)
-    found = None
-    for row in sized.select("_size").distinct().orderBy("_size").collect():
+    sized = materialise(vectors.withColumn("_size", size))
+    found, sizes = None, sized.select("_size").distinct().orderBy("_size").collect()
+    if len(sizes) > 1:
+        # Written once, as every group reads all items.
+        items = materialise(items.select("item_id", "vector", "name", "url", "item_type"))
+    for row in sizes:
         part = recommend_dense(items, sized.where(F.col("_size") == row[0]).drop("_size"), row[0], decimals=decimals)
         found = part if found is None else found.unionByName(part)
     if found is None:
