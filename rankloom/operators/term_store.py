@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.rank import top_rows
@@ -25,6 +25,8 @@ from rankloom.session import materialise
 
 # Candidates are sent to the tasks up to this size in bytes, and joined beyond it.
 SENT = 64 << 20
+# Characters whose terms one task combines before the shuffle, in memory.
+TASK_CHARS = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -34,10 +36,12 @@ class TermStore:
 
     def add(self, corpus: DataFrame, text: str, number: int) -> None:
         """Count the words and word pairs of a batch of texts."""
-        counted = term_counts(corpus, text).sortWithinPartitions(F.col("total").desc())
+        size = materialise(corpus.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0)).alias("chars")))
+        # However the texts lie in files, a task holds the different terms of a few.
+        dealt = corpus.select(text).repartition(max(-(-size.first()["chars"] // TASK_CHARS), corpus.sparkSession.sparkContext.defaultParallelism))
+        counted = term_counts(dealt, text).sortWithinPartitions(F.col("total").desc())
         counted.write.mode("overwrite").parquet(f"{self.path}/counts/batch={number}")
-        size = corpus.agg(F.count(F.lit(1)).alias("n_rows"))
-        size.write.mode("overwrite").parquet(f"{self.path}/sizes/batch={number}")
+        size.select("n_rows").write.mode("overwrite").parquet(f"{self.path}/sizes/batch={number}")
 
     def sizes(self) -> dict[int, int]:
         """Rows of every stored batch."""
@@ -52,7 +56,12 @@ class TermStore:
     def candidates(self, max_features: int = MAX_FEATURES) -> DataFrame:
         """Terms that may be among the ``max_features`` most frequent; none of these is missing."""
         counts, batches = self.counts(), len(self.sizes())
-        best = top_rows(counts, ["batch"], [F.col("total").desc(), F.col("term")], max_features)
+        # What is below the total of a batch's last wanted term isn't sorted; there are few different totals.
+        totals = counts.groupBy("batch", "total").agg(F.count(F.lit(1)).alias("n"))
+        more = F.sum("n").over(Window.partitionBy("batch").orderBy(F.col("total").desc())) - F.col("n")
+        last = totals.withColumn("more", more).where(F.col("more") < max_features).groupBy("batch").agg(F.min("total").alias("last"))
+        high = counts.join(F.broadcast(last), "batch").where(F.col("total") >= F.col("last")).drop("last")
+        best = top_rows(high, ["batch"], [F.col("total").desc(), F.col("term")], max_features)
         added = best.groupBy("term").agg(F.sum("total").alias("total")).orderBy(F.col("total").desc()).limit(max_features)
         least, number = added.agg(F.min("total"), F.count(F.lit(1))).first()
         reached = counts if number < max_features else counts.where(F.col("total") * batches >= least)
