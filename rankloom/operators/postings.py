@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,38 +46,51 @@ def build(items: DataFrame, path: str, shard_postings: int = SHARD_POSTINGS) ->
     total = given.agg(F.coalesce(F.sum(F.size("indices").cast("long") + 1), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_postings))
     dealt = given.select(F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int").alias("shard"), "item_id", "indices", "weights")
-    terms = dealt.select("shard", "item_id", F.inline(F.arrays_zip("indices", "weights")).alias("term", "weight")).where("weight <> 0")
-    listed = dealt.select("shard", "item_id", F.lit(_ITEMS).alias("term"), F.lit(0.0).alias("weight"))
     schema = "shard int, term int, item_ids array<long>, weights array<double>, maxima array<double>"
 
+    def shard_rows(shard, held):
+        """A row for each term of a shard, its items in order of id."""
+        ids, count, terms, weights = (np.concatenate(x) for x in zip(*held, strict=True))
+        if len(weights) and weights.min() < 0:
+            raise ValueError("weights must not be negative")
+        given = np.concatenate([weights != 0, np.ones(len(ids), bool)])
+        # Every item is listed once more, without weight.
+        terms = np.concatenate([terms, np.full(len(ids), _ITEMS, terms.dtype)])[given]
+        weights = np.concatenate([weights, np.zeros(len(ids))])[given]
+        ids = np.concatenate([np.repeat(ids, count), ids])[given]
+        order = np.lexsort((ids, terms))
+        ids, terms, weights = ids[order], terms[order], weights[order]
+        first = np.append(np.flatnonzero(np.append(True, terms[1:] != terms[:-1])), len(terms))
+        blocks = -(-np.diff(first) // BLOCK)
+        opened = np.append(0, np.cumsum(blocks))
+        starts = np.repeat(first[:-1], blocks) + BLOCK * (np.arange(opened[-1]) - np.repeat(opened[:-1], blocks))
+        maxima = np.maximum.reduceat(weights, starts)
+        lists = (pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v)) for o, v in ((first, ids), (first, weights), (opened, maxima)))
+        columns = [pa.array(np.full(len(blocks), shard), pa.int32()), pa.array(terms[first[:-1]], pa.int32()), *lists]
+        row = pa.RecordBatch.from_arrays(columns, ["shard", "term", "item_ids", "weights", "maxima"])
+        yield from (row.slice(at, 256) for at in range(0, row.num_rows, 256))
+
     def gather(batches):
-        """Runs of equal (shard, term), in order of item id, as one row each; a shard's term has no more rows than its items."""
+        """The postings of one shard after the other; a task holds one."""
         at, held = None, []
-
-        def row():
-            ids, weights = (np.concatenate(x) for x in zip(*held, strict=True))
-            maxima = np.maximum.reduceat(weights, np.arange(0, len(weights), BLOCK))
-            return pa.RecordBatch.from_pylist([{"shard": at[0], "term": at[1], "item_ids": ids, "weights": weights, "maxima": maxima}], to_arrow)
-
-        to_arrow = pa.schema([("shard", pa.int32()), ("term", pa.int32()), ("item_ids", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("maxima", pa.list_(pa.float64()))])
         for batch in batches:
-            shard, term, ids, weights = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if len(weights) and weights.min() < 0:
-                raise ValueError("weights must not be negative")
-            bounds = np.flatnonzero((shard[1:] != shard[:-1]) | (term[1:] != term[:-1])) + 1
+            shard = batch.column("shard").to_numpy()
+            bounds = np.flatnonzero(shard[1:] != shard[:-1]) + 1
             for a, b in zip([0, *bounds.tolist()], [*bounds.tolist(), len(shard)], strict=True):
                 if a == b:
                     continue
-                if (here := (int(shard[a]), int(term[a]))) != at:
+                if (here := int(shard[a])) != at:
                     if held:
-                        yield row()
+                        yield from shard_rows(at, held)
                     at, held = here, []
-                held.append((ids[a:b], weights[a:b]))
+                ids, indices, weights = (batch.column(c).slice(a, b - a) for c in ("item_id", "indices", "weights"))
+                count = pc.fill_null(pc.list_value_length(indices), 0).to_numpy(zero_copy_only=False)
+                terms, weights = (c.flatten().to_numpy(zero_copy_only=False) for c in (indices, weights))
+                held.append((ids.to_numpy().astype(np.int64), count, terms.astype(np.int64), weights.astype(np.float64)))
         if held:
-            yield row()
+            yield from shard_rows(at, held)
 
-    rows = terms.unionByName(listed).select("shard", "term", "item_id", "weight")
-    met = rows.repartition("shard", "term").sortWithinPartitions("shard", "term", "item_id").mapInArrow(gather, schema)
+    met = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(gather, schema)
     met.sortWithinPartitions("term").write.parquet(f"{path}/postings")
     given.drop("indices", "weights").write.parquet(f"{path}/items")
 

@@ -57,3 +57,22 @@ def test_empty_tables_and_bad_weights(spark, tmp_path):
     assert postings.PostingIndex(spark, str(tmp_path / "none")).search(asked, 2).count() == 0
     with pytest.raises(Exception, match="not be negative"):
         postings.build(spark.createDataFrame([(1, [0], [-0.5], "n")], SCHEMA), str(tmp_path / "bad"))
+
+
+def test_items_and_not_postings_are_shuffled(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    given, run = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **b: given.append(self.count()) or run(self, *a, **b))
+    # Copies, items without terms and lists that are null.
+    made = [*make(60, 20, 3, True), (7, [1, 2], [0.5, 0.0], "copy"), (7, [], [], "none"), (99, None, None, "null")]
+    items = spark.createDataFrame(made, SCHEMA)
+    postings.build(items, str(tmp_path / "p"), 50)
+    assert given == [len(made)]
+    stored = spark.read.parquet(str(tmp_path / "p" / "postings"))
+    long = stored.where("term >= 0").select(F.inline(F.arrays_zip("item_ids", "weights")).alias("item_id", "weight"), "term")
+    wanted = [(i, w, t) for i, terms, weights, _ in made for t, w in zip(terms or [], weights or [], strict=True) if w]
+    assert sorted((r.item_id, r.weight, r.term) for r in long.collect()) == sorted(wanted)
+    listed = stored.where("term = -1").select(F.explode("item_ids").alias("i")).collect()
+    assert sorted(r.i for r in listed) == sorted(m[0] for m in made)
+    assert stored.groupBy("shard", "term").count().where("count > 1").isEmpty()
