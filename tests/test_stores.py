@@ -101,3 +101,16 @@ def test_every_text_is_encoded_once(spark, tmp_path):
 
 def vector_store_digests(spark, docs):
     return [tuple(r) for r in docs.where("text <> ''").selectExpr("sha2(text, 256)", "text").collect()]
+
+
+def test_texts_are_dealt_by_size_before_terms_are_combined(spark, tmp_path, monkeypatch):
+    from rankloom.operators import term_store
+
+    tasks, term_counts = [], term_store.term_counts
+    monkeypatch.setattr(term_store, "TASK_CHARS", 200, raising=False)
+    monkeypatch.setattr(term_store, "term_counts", lambda corpus, text: tasks.append(corpus.rdd.getNumPartitions()) or term_counts(corpus, text))
+    rows = [*texts(1, 60), None]
+    store = TermStore(spark, str(tmp_path / "terms"))
+    store.add(frame(spark, rows).coalesce(1), "text", 0)
+    assert tasks[0] >= sum(len(t or "") for t in rows) / 200
+    assert store.fit(20) == TfidfIndex.fit(frame(spark, rows), "text", 20)
