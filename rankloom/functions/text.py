@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ _NOISE = "(?iud)(?:" + "|".join(NOISE_PHRASES) + ").*"
 # Words at least one of which every noise phrase holds, and the letters that
 # match s or i when case is ignored though lower() keeps them apart.
 _NOISE_HINTS = ["browser", "understand"]
-_NOISE_LETTERS = "[ſıİ]"
+_NOISE_LETTERS = "ſıİ"
 # Whitespace that is not already one blank.
 _LOOSE = rf" [{SPACE}]+|(?! )[{SPACE}]+"
 _LINK = rf"http[^{SPACE}]+|www\.[^{SPACE}]+"
@@ -48,11 +51,16 @@ def collapse_space(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, _LOOSE, " "))
 
 
+def collapse_blanks(text: Column) -> Column:
+    """:func:`collapse_space` of a text whose only whitespace are blanks; few have two in a row."""
+    return F.btrim(F.when(text.contains("  "), F.regexp_replace(text, "  +", " ")).otherwise(text))
+
+
 def remove_noise(text: Column) -> Column:
     """Drop browser warnings to the end of their line and tidy blanks."""
     lowered = F.lower(text)
     # Few texts hold noise; a plain search spares the others the pattern.
-    noisy = lowered.contains(_NOISE_HINTS[0]) | lowered.contains(_NOISE_HINTS[1]) | text.rlike(_NOISE_LETTERS)
+    noisy = reduce(or_, [lowered.contains(w) for w in _NOISE_HINTS] + [text.contains(c) for c in _NOISE_LETTERS])
     return collapse_space(F.when(noisy, F.regexp_replace(text, _NOISE, "")).otherwise(text))
 
 
@@ -84,7 +92,8 @@ def with_clean_description(df: DataFrame, column: str = "description") -> DataFr
 
 
 def embedding_text(name: Column, description: Column) -> Column:
-    return collapse_space(F.concat(name, F.lit(". "), description))
+    """Of a clean name and description, where only removed links leave blanks in a row."""
+    return collapse_blanks(F.concat(name, F.lit(". "), description))
 
 
 def classify(name: Column, rules=TYPE_RULES, default: str = DEFAULT_TYPE) -> Column:

@@ -17,6 +17,11 @@ def words(text: Column) -> Column:
     return F.filter(runs, lambda w: F.length(w) > 1)
 
 
+def spaced(text: Column) -> Column:
+    """All lower-cased runs of word characters, also of one, joined by blanks; null counts as empty."""
+    return F.array_join(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), " ")
+
+
 def pairs(words: Column) -> Column:
     """Neighbouring words joined by a blank; null where one of them is."""
     size = F.size(words)
@@ -27,12 +32,6 @@ def pairs(words: Column) -> Column:
     )
 
 
-def only(words: str, among: list[str]) -> Column:
-    """The array column with nulls for words that aren't in the list; words hold no quotes."""
-    listed = ", ".join(f"'{w}'" for w in among)
-    return F.expr(f"transform({words}, w -> if(w in ({listed}), w, null))")
-
-
 def with_terms(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     """Add the array of words followed by the pairs of neighbouring words."""
     return (

@@ -1,24 +1,23 @@
 """TF-IDF over words and word pairs: vocabulary, weights and retrieval.
 
 The vocabulary is found with one aggregation over the corpus; item vectors are
-then built row by row in the JVM (no shuffle), as the vocabulary is bounded by
-``max_features``.
+then built text by text (no shuffle), as the vocabulary is bounded by
+``max_features``. Texts are cut into words once, and terms counted and weighed as
+numbers in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions import tokens
-from rankloom.functions.tokens import with_terms
+from rankloom.functions.coded import Weigher, count_terms
+from rankloom.functions.tokens import spaced
 from rankloom.operators.topk import nearest
 from rankloom.session import materialise
 
@@ -26,28 +25,25 @@ MAX_FEATURES = 8000
 POOL = 20
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """Per term of the array column ``terms``: occurrences (``total``) and rows holding it (``df``).
+def _counts(worded: DataFrame, words: bool = True, pairs: bool = True, among: list[str] | None = None) -> DataFrame:
+    """Per term of the column ``words``: occurrences (``total``) and rows holding it (``df``).
 
-    Terms are sorted inside their text, so the first of equal neighbours marks
-    a new text and both counts come from one map-side combined aggregation.
+    ``words`` or ``pairs`` leave out the others. Tasks count a part of their texts
+    at a time; the parts' counts are combined before the shuffle.
     """
-    rows = rows.select(F.sort_array("terms").alias("term"))
-    before = F.concat(
-        F.array(F.lit(None).cast("string")),
-        F.slice("term", F.lit(1), F.greatest(F.size("term") - 1, F.lit(0))),
-    )
-    opened = rows.select("term", before.alias("before")).select(F.inline(F.arrays_zip("term", "before")))
-    # A text without words gives one row without a term. Dropped here and not
-    # by array size: that filter would be pushed down and tokenise twice.
-    opened = opened.where(F.col("term").isNotNull())
-    new = (~F.col("term").eqNullSafe(F.col("before"))).cast("int")
-    return opened.groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum(new).alias("df"))
+
+    def count(batches):
+        given = None if among is None else pa.array(among, pa.string())
+        for batch in batches:
+            yield from count_terms(batch.column(0), words, pairs, given)
+
+    counted = worded.select("words").mapInArrow(count, "term string, total long, df long")
+    return counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
 def term_counts(corpus: DataFrame, text: str) -> DataFrame:
     """(term, total, df) of all words and word pairs of the corpus."""
-    return _counts(with_terms(corpus.select(text), text))
+    return _counts(corpus.select(spaced(F.col(text)).alias("words")))
 
 
 def vocabulary(corpus: DataFrame, text: str, max_features: int = MAX_FEATURES) -> DataFrame:
@@ -58,23 +54,24 @@ def vocabulary(corpus: DataFrame, text: str, max_features: int = MAX_FEATURES) -
     them can belong; most pairs of a corpus are never made or shuffled. Where more
     than four times as many words are tied with the last, all pairs are counted.
     """
-    order = [F.col("total").desc(), F.col("term")]
     # Written, as words and pairs are counted in two passes.
-    worded = materialise(corpus.select(tokens.words(F.col(text)).alias("terms")))
-    single = _counts(worded).checkpoint()
+    return _frequent(materialise(corpus.select(spaced(F.col(text)).alias("words"))), max_features)
+
+
+def _frequent(worded: DataFrame, max_features: int) -> DataFrame:
+    """The vocabulary of the column ``words``."""
+    order = [F.col("total").desc(), F.col("term")]
+    single = _counts(worded, pairs=False).checkpoint()
     top = single.orderBy(*order).limit(max_features).select("term", "total", "df").toArrow()
     among = None
     if top.num_rows == max_features:
         least = top.column("total")[-1].as_py()
         frequent = single.where(F.col("total") >= least).select("term").limit(4 * max_features + 1).toArrow()
         among = frequent.column("term").to_pylist() if frequent.num_rows <= 4 * max_features else None
-    if among is not None:
-        worded = worded.select(tokens.only("terms", among).alias("terms"))
-    made = F.filter(tokens.pairs(F.col("terms")), lambda p: p.isNotNull())
-    paired = _counts(worded.select(made.alias("terms")))
+    paired = _counts(worded, words=False, among=among)
     # Of the words only the best max_features, already here, can belong.
-    words = corpus.sparkSession.createDataFrame(top, "term string, total long, df long")
-    return words.unionByName(paired.select("term", "total", "df")).orderBy(*order).limit(max_features)
+    words = worded.sparkSession.createDataFrame(top, "term string, total long, df long")
+    return words.unionByName(paired).orderBy(*order).limit(max_features)
 
 
 @dataclass
@@ -89,7 +86,16 @@ class TfidfIndex:
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text", max_features: int = MAX_FEATURES) -> TfidfIndex:
         """Fit on the whole corpus; at most ``max_features`` rows reach the driver."""
-        table = vocabulary(corpus, text, max_features).toArrow()
+        return cls._of(vocabulary(corpus, text, max_features), corpus)
+
+    @classmethod
+    def fit_worded(cls, worded: DataFrame, max_features: int = MAX_FEATURES) -> TfidfIndex:
+        """The same of a written table whose column ``words`` holds the texts' words, from ``tokens.spaced``."""
+        return cls._of(_frequent(worded, max_features), worded)
+
+    @classmethod
+    def _of(cls, terms: DataFrame, corpus: DataFrame) -> TfidfIndex:
+        table = terms.toArrow()
         if not table.num_rows:
             raise ValueError("empty vocabulary: no text holds a word")
         columns = [table.column(c).to_pylist() for c in ("term", "total", "df")]
@@ -113,12 +119,6 @@ class TfidfIndex:
         )
         return spark.createDataFrame(table)
 
-    @cached_property
-    def _stages(self):
-        counts = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_counts", outputCol="_scaled")
-        return [counts, scaled, Normalizer(p=2.0, inputCol="_scaled", outputCol="_unit")]
-
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).withColumn("n_items", F.lit(self.n_items)).coalesce(1).write.mode("overwrite").parquet(path)
 
@@ -135,12 +135,20 @@ class TfidfIndex:
         Terms outside the vocabulary are dropped; a text without any known
         term gets an empty vector.
         """
-        out = with_terms(df, text, "_terms")
-        for stage in self._stages:
-            out = stage.transform(out)
-        vector = F.unwrap_udt("_unit")
-        return out.select(
-            *df.columns, vector["indices"].alias("indices"), vector["values"].alias("weights")
+        return self.transform_worded(df.withColumn("_words", spaced(F.col(text))), "_words").drop("_words")
+
+    def transform_worded(self, df: DataFrame, words: str = "words") -> DataFrame:
+        """The same for a column that holds the texts' words, from ``tokens.spaced``."""
+        terms, idf = self.terms, self.idf
+
+        @F.arrow_udf("struct<indices: array<int>, weights: array<double>>")
+        def weigh(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            weigher = Weigher(terms, idf)
+            for part in texts:
+                yield weigher(part)
+
+        return df.withColumn("_vector", weigh(F.col(words))).select(
+            *df.columns, F.col("_vector.indices").alias("indices"), F.col("_vector.weights").alias("weights")
         )
 
     def weights(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:

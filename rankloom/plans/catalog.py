@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.functions.tokens import spaced
 from rankloom.operators.clean import clean_catalog
 from rankloom.operators.pages import catalog_rows
 from rankloom.operators.tfidf import MAX_FEATURES, TfidfIndex
@@ -27,9 +28,10 @@ def catalog_from_pages(pages: DataFrame, site_suffix: str = "") -> DataFrame:
 def fit_catalog(catalog: DataFrame, max_features: int = MAX_FEATURES) -> tuple[TfidfIndex, DataFrame]:
     """The vocabulary over the whole catalog and each item with its sparse vector.
 
-    The cleaned texts are written once, as fitting and vectors both read them.
+    The cleaned texts are cut into words and written once, as fitting and vectors both
+    read them.
     """
-    catalog = materialise(catalog.select("item_id", "name", "url", "item_type", "embedding_text"))
-    index = TfidfIndex.fit(catalog, "embedding_text", max_features)
-    items = index.transform(catalog, "embedding_text")
-    return index, items.select("item_id", "name", "url", "item_type", "indices", "weights")
+    words = spaced(F.col("embedding_text")).alias("words")
+    catalog = materialise(catalog.select("item_id", "name", "url", "item_type", words))
+    index = TfidfIndex.fit_worded(catalog, max_features)
+    return index, index.transform_worded(catalog).drop("words")
